@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.neardup import SIG, likeness
+from quern.llm.neardup import SIG, SIG_SCHEMA, likeness
 from quern.llm.words import Batch, among, bitmap, distinct, lists, per_batch, signatures, words
 from quern.plans.lineage import checkpoint, stored
 
@@ -34,7 +34,7 @@ def _segments(full: Batch, layers, every: bool) -> tuple[np.ndarray, np.ndarray]
 
 
 def evaluation_segments(rows: DataFrame, shingle: int, least_words: int, layers, maybe) -> DataFrame:
-    """(id, node, n, s0..s3, keys) of rows (id, text, hash) whose hash may be an evaluation id's."""
+    """(id, node, n, s0..s7, keys) of rows (id, text, hash) whose hash may be an evaluation id's."""
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
         b = b.filter(pa.array(among(b.column("hash").to_numpy(), maybe.value)))
@@ -45,11 +45,11 @@ def evaluation_segments(rows: DataFrame, shingle: int, least_words: int, layers,
         doc, h = full.shingles(shingle)
         return pa.RecordBatch.from_arrays([b.column("id").take(pa.array(keep)), pa.array(full.nodes()), pa.array(np.bincount(doc, minlength=n).astype(np.int32)), *map(pa.array, signatures(doc, h, n)), lists(*_segments(full, layers, False), n)], ["id", "node", "n", *SIG, "keys"])
 
-    return rows.mapInArrow(per_batch(f), "id string, node long, n int, s0 long, s1 long, s2 long, s3 long, keys array<long>")
+    return rows.mapInArrow(per_batch(f), f"id string, node long, n int, {SIG_SCHEMA}, keys array<long>")
 
 
 def matching_substrings(rows: DataFrame, shingle: int, least_words: int, layers, wanted) -> DataFrame:
-    """(id, node, n, s0..s3, keys): the windows, at all places, that may be one of the wanted segments."""
+    """(id, node, n, s0..s7, keys): the windows, at all places, that may be one of the wanted segments."""
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
         keep, full = _kept(b, least_words)
@@ -62,7 +62,7 @@ def matching_substrings(rows: DataFrame, shingle: int, least_words: int, layers,
         doc, h = full.shingles(shingle)
         return pa.RecordBatch.from_arrays([b.column("id").take(pa.array(keep)), pa.array(full.nodes()), pa.array(np.bincount(doc, minlength=n).astype(np.int32)), *map(pa.array, signatures(doc, h, n)), lists(d, k, n)], ["id", "node", "n", *SIG, "keys"])
 
-    return rows.mapInArrow(per_batch(f), "id string, node long, n int, s0 long, s1 long, s2 long, s3 long, keys array<long>")
+    return rows.mapInArrow(per_batch(f), f"id string, node long, n int, {SIG_SCHEMA}, keys array<long>")
 
 
 def word_codes(rows: DataFrame, wanted) -> DataFrame:
