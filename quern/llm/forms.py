@@ -40,7 +40,7 @@ def _narrow(ch: str) -> str:
 INVISIBLE = _invisible()
 BLANKS = {chr(c) for c in range(0x21, 0x3001) if unicodedata.category(chr(c)) == "Zs"}
 WIDTH = {chr(c): _narrow(chr(c)) for c in range(0xFF01, 0xFFEF) if _narrow(chr(c)) != chr(c)}
-_PLAIN = str.maketrans({**{c: " " for c in BLANKS}, **{c: n for c, n in WIDTH.items() if c not in INVISIBLE}})
+_PLAIN = {**{c: " " for c in BLANKS}, **{c: n for c, n in WIDTH.items() if c not in INVISIBLE}}
 
 
 def _cls(chars: Iterable[str]) -> str:
@@ -56,6 +56,7 @@ def _cls(chars: Iterable[str]) -> str:
 _MARKS = "̀-ͯ"
 _OTHER = "Ͱ-ϿЀ-ԯἀ-῿"
 SUSPECT = re.compile(f"[{_MARKS}{_OTHER}{_cls(INVISIBLE)}{_cls(BLANKS)}{_cls(WIDTH)}]")
+_TO_PLAIN = re.compile(f"[{_cls(_PLAIN)}]")
 _HIDDEN = re.compile(f"[{_cls(INVISIBLE)}]+")
 _WORD = re.compile(f"[^\\W\\d_][^\\W\\d_{_MARKS}]*(?:[{_MARKS}]+[^\\W\\d_]*)*")
 _FOREIGN = re.compile(f"[{_OTHER}]")
@@ -79,6 +80,10 @@ def _held(text: str, i: int, ch: str) -> bool:
     return False
 
 
+def _plain(text: str) -> str:
+    return _TO_PLAIN.sub(lambda m: _PLAIN[m.group()], text)
+
+
 def drop_invisible(text: str) -> str:
     return _HIDDEN.sub(lambda m: "".join(c for k, c in enumerate(m.group(), m.start()) if _held(text, k, c)), text)
 
@@ -118,7 +123,7 @@ def consistent(text: str | None) -> str | None:
     if text is None or text.isascii() and text.isprintable():
         return text
     if SUSPECT.search(text):
-        text = unicodedata.normalize("NFC", drop_invisible(text.translate(_PLAIN)))
+        text = unicodedata.normalize("NFC", drop_invisible(_plain(text)))
         return _WORD.sub(_one_script, text) if _FOREIGN.search(text) else text
     return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
@@ -193,7 +198,7 @@ class LookalikeModel:
                 return
             if s in WIDTH:
                 yield WIDTH[s]
-        if (c := unicodedata.normalize("NFC", s.translate(_PLAIN))) != s:
+        if (c := unicodedata.normalize("NFC", _plain(s))) != s:
             yield c
         parts = unicodedata.normalize("NFD", s)
         if (k := script(parts[0])) in LIKE and parts[0] in LIKE[k]:

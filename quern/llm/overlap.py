@@ -34,7 +34,7 @@ def _segments(full: Batch, layers, every: bool) -> tuple[np.ndarray, np.ndarray]
 
 
 def evaluation_segments(rows: DataFrame, shingle: int, least_words: int, layers, maybe) -> DataFrame:
-    """(id, node, n, s0..s7, keys) of rows (id, text, hash) whose hash may be an evaluation id's."""
+    """(id, node, n, s0.., keys) of rows (id, text, hash) whose hash may be an evaluation id's."""
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
         b = b.filter(pa.array(among(b.column("hash").to_numpy(), maybe.value)))
@@ -49,7 +49,7 @@ def evaluation_segments(rows: DataFrame, shingle: int, least_words: int, layers,
 
 
 def matching_substrings(rows: DataFrame, shingle: int, least_words: int, layers, wanted) -> DataFrame:
-    """(id, node, n, s0..s7, keys): the windows, at all places, that may be one of the wanted segments."""
+    """(id, node, n, s0.., keys): the windows, at all places, that may be one of the wanted segments."""
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
         keep, full = _kept(b, least_words)

@@ -19,7 +19,7 @@ from quern.llm.forms import consistent
 
 WORD = re.compile(r"[^\W_]+")
 #: Bits of a signature. Pairs of long texts with little in common still differ in too few of 256 bits to be told apart.
-BITS = 512
+BITS = 384
 _P, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -113,7 +113,7 @@ def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(doc: np.ndarray, h: np.ndarray, n: int) -> list[np.ndarray]:
     """Per document the parities of its hashes by bit number, in 64-bit words. The bits in which two differ are at most the values only one of them has."""
-    bits = np.bincount(doc * BITS + (h >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=n * BITS) & 1
+    bits = np.bincount(doc * BITS + ((h >> np.uint64(32)) * np.uint64(BITS) >> np.uint64(32)).astype(np.int64), minlength=n * BITS) & 1
     packed = np.packbits(bits.astype(np.uint8).reshape(n, BITS), axis=1).view(np.int64).reshape(n, BITS // 64)
     return [np.ascontiguousarray(packed[:, i]) for i in range(BITS // 64)]
 
