@@ -191,11 +191,12 @@ def token_counts(rows: DataFrame, keep: dict[str, Column], text: Column, path: s
     """The kept columns and ``tokens``, the number of ids of the text; 0 for null and empty texts."""
     src = rows.select(*(c.alias(n) for n, c in keep.items()), text.cast("string").alias("__text"))
     schema = ", ".join(f"`{n}` {src.schema[n].dataType.simpleString()}" for n in keep)
+    names = list(keep)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for b in batches:
-            for part in _portions(b, len(keep)):
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(e.lengths(part.column(len(keep)).to_pylist()))], [*keep, "tokens"])
+            for part in _portions(b, len(names)):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(e.lengths(part.column(len(names)).to_pylist()))], [*names, "tokens"])
 
     return src.mapInArrow(f, f"{schema}, tokens long")

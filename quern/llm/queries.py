@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import lookalikes, neardup, overlap, splitting
+from quern.llm import bpe, defects, langid, lookalikes, mixing, neardup, overlap, sampling, splitting
+from quern.plans.lineage import stored
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -91,5 +94,101 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").alias("example_id"), "group_id", F.col("stratum").alias("task_type"), "split")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_links, p4_found, p4_texts, p5_found, p5_splits)}
+# 2: sample with target proportions
+
+
+def _plan(spark: SparkSession, d: str) -> sampling.Plan:
+    return sampling.plan(_t(spark, d, "sft_rows"), F.col("example_id"), _t(spark, d, "sample_targets"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    p = _plan(spark, d)
+    short = sampling.shortfalls(p.have, p.targets, p.size)
+    return spark.createDataFrame(sorted(short), "dimension string, category string")
+
+
+def _sample(spark: SparkSession, d: str) -> tuple[sampling.Plan, DataFrame]:
+    p = _plan(spark, d)
+    quota = {json.dumps(dict(zip(p.dims, k, strict=True)), ensure_ascii=False, separators=(",", ":")): n for k, n in sampling.quotas(p.counts, p.dims, p.targets, p.size).items()}
+    return p, sampling.draw(p.labelled, quota)
+
+
+def p2_sample(spark: SparkSession, d: str) -> DataFrame:
+    p, drawn = _sample(spark, d)
+    cell = F.from_json("cell", ", ".join(f"{x} string" for x in p.dims))
+    return drawn.select(F.col("id").alias("example_id"), cell.alias("c")).select("example_id", "c.*")
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    p, drawn = _sample(spark, d)
+    cell = F.from_json("cell", ", ".join(f"{x} string" for x in p.dims))
+    got = drawn.groupBy("cell").count().select(cell.alias("c"), "count").select(F.explode(F.array(*(F.struct(F.lit(x).alias("dimension"), F.col("c")[x].alias("form"), F.col("count").alias("n")) for x in p.dims))).alias("x")).select("x.*").groupBy("dimension", "form").agg(F.sum("n").alias("drawn"))
+    short = sampling.shortfalls(p.have, p.targets, p.size)
+    want = spark.createDataFrame([(t.dimension, t.category, sampling.form(t.category), t.share, sampling.needed(t, p.size), p.have.get((t.dimension, sampling.form(t.category)), 0), short.get((t.dimension, t.category), 0)) for t in p.targets], "dimension string, category string, form string, target_share double, needed long, available long, shortfall long")
+    return want.join(got, ["dimension", "form"], "left").select("dimension", "category", "target_share", "needed", "available", "shortfall", F.coalesce("drawn", F.lit(0)).alias("drawn"), (F.coalesce("drawn", F.lit(0)) / p.size).alias("actual_share"))
+
+
+# 6: broken pairs
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return defects.label_pairs(_sft(spark, d, "question_vi", "reading_vi", "task_type"), F.col("example_id"), F.col("question_vi"), F.col("reading_vi"), F.col("task_type"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _labels(spark, d).select(F.col("id").alias("example_id"), "defect")
+
+
+def p6_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _labels(spark, d).select(F.col("id").alias("example_id"), F.explode(F.arrays_zip("defects", "posteriors")).alias("x")).select("example_id", F.col("x.defects").alias("defect"), F.col("x.posteriors").alias("posterior"))
+
+
+# 7: encoding
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(_t(spark, d, "documents"), F.col("doc_id"), F.col("text")).withColumnRenamed("id", "doc_id")
+
+
+# 8: mixing
+
+
+def _sized(spark: SparkSession, d: str) -> tuple[DataFrame, list, int]:
+    targets, budget = mixing.read_targets(_t(spark, d, "mix_targets"))
+    docs = _t(spark, d, "documents").where(F.col("source").isin([t.source for t in targets]))
+    return stored(bpe.token_counts(docs, {"doc_id": F.col("doc_id"), "source": F.col("source")}, F.col("text"))), targets, budget
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    sized, targets, budget = _sized(spark, d)
+    return spark.createDataFrame([(s,) for s in mixing.short_sources(mixing.source_sizes(sized, targets), targets, budget)], "source string")
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.ordered(mixing.mix(*_sized(spark, d)))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    sized, targets, budget = _sized(spark, d)
+    return mixing.report(mixing.mix(sized, targets, budget), targets, mixing.source_sizes(sized, targets), budget)
+
+
+# 9: languages
+
+
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents")
+    names = [r[0] for r in _t(spark, d, "cards").select("name_en").distinct().collect()]  # fixed, 78
+    return langid.languages(docs, F.col("doc_id"), F.col("text"), F.col("lang"), langid.train(docs, F.col("text"), F.col("lang")), names)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.mislabelled(_languages(spark, d)).select(F.col("id").alias("doc_id"), "lang")
+
+
+def p9_passages(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).select(F.col("id").alias("doc_id"), F.posexplode("passages").alias("passage", "x")).select("doc_id", "passage", "x.*")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_sample, p2_report, p3_found, p3_links, p4_found, p4_texts, p5_found, p5_splits, p6_found, p6_labels, p7_ids, p8_found, p8_mix, p8_report, p9_found, p9_passages)}
 ORACLES: dict[str, str] = {}
