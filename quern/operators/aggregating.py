@@ -118,5 +118,9 @@ def profile(tokens: DataFrame, vocabulary: Sequence[str], token: str = "token")
 def profile_distance(tokens: Column, frequencies: dict[str, float]) -> Column:
     """Mean relative deviation of a text from a profile; null without tokens (an infinite distance)."""
     used = {w: f for w, f in frequencies.items() if f > 0}
-    parts = [F.abs(F.size(F.filter(tokens, lambda t, w=w: t == w)) / F.size(tokens) - F.lit(f)) / F.lit(f) for w, f in sorted(used.items())]
+
+    def part(w: str, f: float) -> Column:
+        return F.abs(F.size(F.filter(tokens, lambda t: t == w)) / F.size(tokens) - F.lit(f)) / F.lit(f)
+
+    parts = [part(w, f) for w, f in sorted(used.items())]
     return F.when(F.size(tokens) > 0, sum(parts, F.lit(0.0)) / len(used)) if used else F.lit(None).cast("double")

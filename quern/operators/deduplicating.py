@@ -7,14 +7,16 @@ pairs, so it is computed on that graph, in rounds, instead of row by row.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.functions.stats import lane_coefficients
-from quern.functions.text import char_ngrams, collapse
 from quern.plans.lineage import checkpoint
 
 PRIME = (1 << 31) - 1
@@ -35,12 +37,30 @@ def structural(df: DataFrame, key: Sequence[Column], position: Column, protected
 
 
 def minhash(text: Column, k: int = 128, shingle: int = 5, seed: int = 7) -> Column:
-    """k lanes of (a x + b) mod 2^31-1 over CRC-32 of the character shingles; zeros for texts too short for one."""
-    a, b = lane_coefficients(k, seed)
-    values = F.transform(F.array_distinct(char_ngrams(collapse(F.lower(text)), shingle)), lambda s: F.crc32(F.encode(s, "UTF-8")))
-    ab = F.arrays_zip(F.array(*map(F.lit, a)).alias("a"), F.array(*map(F.lit, b)).alias("b"))
-    lane = lambda c: F.array_min(F.transform(values, lambda v: (c["a"] * v + c["b"]) % F.lit(PRIME)))
-    return F.when(F.size(values) > 0, F.transform(ab, lane)).otherwise(F.array_repeat(F.lit(0).cast("long"), k))
+    """k lanes of (a x + b) mod 2^31-1 over CRC-32 of the character shingles of the lower-cased text with single blanks; zeros for texts too short for one and for nulls.
+
+    A vectorised UDF: as nested lambdas the shingles would be made anew for
+    each lane, and lambdas aren't compiled.
+    """
+    a, b = (np.array(x, np.int64)[:, None] for x in lane_coefficients(k, seed))
+
+    @F.pandas_udf("array<long>")
+    def lanes(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            t = " ".join(t.lower().split()) if t else ""
+            seen = {t[i : i + shingle] for i in range(len(t) - shingle + 1)}
+            if not seen:
+                out.append(np.zeros(k, np.int64))
+                continue
+            x = np.fromiter((zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in seen), np.int64, len(seen))
+            least = np.full(k, PRIME, np.int64)
+            for i in range(0, len(x), 4096):  # long texts in portions
+                np.minimum(least, ((a * x[None, i : i + 4096] + b) % PRIME).min(axis=1), out=least)
+            out.append(least)
+        return pd.Series(out)
+
+    return lanes(text)
 
 
 def banded_pairs(df: DataFrame, id: str, lanes: str, words: str, *, bands: int = 32, agree: float = 0.85, window: float = 1.2) -> DataFrame:
@@ -103,8 +123,6 @@ def cosine_pairs(vectors: DataFrame, id: str, vector: str, least: float, *, tabl
     one of the tables' buckets with chance 1 - (1 - (1 - t/pi)^bits)^tables; at
     cosine 0.92 that is 0.999. Neighbouring buckets aren't probed.
     """
-    import numpy as np
-
     planes = np.random.RandomState(seed).standard_normal((tables * bits, dims))
     unit = F.transform(vector, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x * x))

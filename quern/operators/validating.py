@@ -76,9 +76,9 @@ def distinctive_keywords(kb: DataFrame, most_cards: int = 2, least_letters: int
     return k.join(few, "keyword").select("card_id", "keyword")
 
 
-def keyword_collisions(texts: DataFrame, id: str, text: str, drawn: str, kb: DataFrame, least: int = 2) -> DataFrame:
+def keyword_collisions(texts: DataFrame, id: str, text: str, drawn: str, kb: DataFrame, least: int = 2, most_cards: int = 2) -> DataFrame:
     """(id, card_id, hits): cards that weren't drawn and of which a text has several distinctive keywords. All keywords are looked for in one pass by a regular expression; the knowledge base is a fixed table."""
-    words = distinctive_keywords(kb)
+    words = distinctive_keywords(kb, most_cards)
     names = [r[0] for r in words.select("keyword").distinct().orderBy("keyword").collect()]
     if not names:
         return texts.select(id, F.lit(0).alias("card_id"), F.lit(0).alias("hits")).limit(0)

@@ -52,16 +52,16 @@ def ring_log(stream: DataFrame, key: str, line: str, capacity: int = 5000, ttl_m
 
 
 def near_duplicate_sink(store: str, pairs: Callable[[DataFrame, DataFrame], DataFrame], id: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: appends to the store the batch's rows that aren't alike an earlier stored row or an earlier row of the batch. ``pairs(rows, store)`` gives (a: row, b: earlier row). The batch number is a column, so that a batch that is run again replaces itself."""
+    """For foreachBatch: appends to the store the batch's rows that aren't alike an earlier stored row or an earlier row of the batch. ``pairs(rows, store)`` gives (a: row, b: earlier row). Each batch is a partition of the store, so that a batch that is run again replaces itself."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         from quern.sources.readers import exists
 
         once = batch.dropDuplicates([id])
-        old = spark.read.parquet(store).where(F.col("__batch") < number).drop("__batch") if exists(spark, store) else once.limit(0)
+        old = spark.read.parquet(store).where(F.col("batch") < number).drop("batch") if exists(spark, store) else once.limit(0)
         dup = pairs(once, old).select(F.col("a").alias(id)).distinct()
-        once.join(dup, id, "left_anti").withColumn("__batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__batch").parquet(store)
+        once.join(dup, id, "left_anti").write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     return run
 
