@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,6 +29,11 @@ FORBIDDEN = {
 }
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once. An expression that stands inside a lambda is otherwise computed again for each element, and one that stands twice outside compiled code twice."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _quote(literal: str) -> str:
     return re.sub(r"([\\.\[\]{}()*+?^$|\-#&~])", r"\\\1", literal)
 
@@ -44,7 +49,7 @@ def ascii_tokens(text: Column) -> Column:
 
 def word_split(text: Column) -> Column:
     """Runs between blanks; an empty array for blank texts."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(r"[^\s\x0B\x85\p{Z}]+"), F.lit(0))
 
 
 @F.pandas_udf("string")
@@ -54,11 +59,13 @@ def nfc(text: pd.Series) -> pd.Series:
 
 def ngrams(items: Column, n: int, sep: str = " ") -> Column:
     """Runs of n items joined; none where there are fewer (sequence would otherwise count down)."""
-    return F.when(F.size(items) >= n, F.transform(F.sequence(F.lit(1), F.size(items) - n + 1), lambda i: F.array_join(F.slice(items, i, n), sep))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return let(items, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), sep))).otherwise(none))
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return let(text, lambda t: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(none))
 
 
 def collapse(text: Column) -> Column:
@@ -72,7 +79,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def share(items: Column, holds) -> Column:
     """Share of the items for which it holds; 0 without items."""
-    return F.when(F.size(items) > 0, F.size(F.filter(items, holds)) / F.size(items)).otherwise(F.lit(0.0))
+    return let(items, lambda t: F.when(F.size(t) > 0, F.size(F.filter(t, holds)) / F.size(t)).otherwise(F.lit(0.0)))
 
 
 def diacritic_ratio(text: Column) -> Column:
@@ -80,7 +87,7 @@ def diacritic_ratio(text: Column) -> Column:
 
 
 def type_token_ratio(words: Column) -> Column:
-    return F.size(F.array_distinct(words)) / F.greatest(F.lit(1), F.size(words))
+    return let(words, lambda w: F.size(F.array_distinct(w)) / F.greatest(F.lit(1), F.size(w)))
 
 
 def sentence_count(text: Column) -> Column:
@@ -94,16 +101,19 @@ def has_term(text: Column, term: str) -> Column:
 
 def term_hits(text: Column, terms: Iterable[str]) -> Column:
     """Number of terms that occur at least once."""
-    low = F.lower(text)
-    return sum((F.when(has_term(low, t), 1).otherwise(0) for t in terms), F.lit(0))
+    return let(F.lower(text), lambda low: sum((F.when(has_term(low, t), 1).otherwise(0) for t in terms), F.lit(0)))
 
 
 def polarity(text: Column, up: Sequence[str] = UPRIGHT_TERMS, down: Sequence[str] = REVERSED_TERMS, epsilon: float = 0.15) -> Column:
     """struct(score, hits, attribution): balance of two lexicons, agnostic within epsilon and without hits."""
-    u, d = term_hits(text, up), term_hits(text, down)
-    score = F.when(u + d > 0, (u - d) / (u + d)).otherwise(F.lit(0.0))
-    label = F.when((u + d == 0) | (F.abs(score) < epsilon), "vi_orientation_agnostic").when(score > 0, "vi_upright").otherwise("vi_reversed_skew")
-    return F.struct(score.alias("score"), (u + d).alias("hits"), label.alias("attribution"))
+
+    def judged(h: Column) -> Column:
+        u, d = h["u"], h["d"]
+        score = F.when(u + d > 0, (u - d) / (u + d)).otherwise(F.lit(0.0))
+        label = F.when((u + d == 0) | (F.abs(score) < epsilon), "vi_orientation_agnostic").when(score > 0, "vi_upright").otherwise("vi_reversed_skew")
+        return F.struct(score.alias("score"), (u + d).alias("hits"), label.alias("attribution"))
+
+    return let(F.struct(term_hits(text, up).alias("u"), term_hits(text, down).alias("d")), judged)
 
 
 def matched_categories(text: Column, patterns: dict[str, Sequence[str]]) -> Column:
@@ -126,8 +136,7 @@ def first_match(text: Column, patterns: dict[str, str], default: str | None = No
 
 def keyword_containment(text: Column, keywords: Column) -> Column:
     """Share of the keywords that stand in the text, whatever their case; 0 without keywords."""
-    low = F.lower(text)
-    return F.when(F.size(keywords) > 0, F.size(F.filter(keywords, lambda k: (k != "") & F.contains(low, F.lower(k)))) / F.size(keywords)).otherwise(F.lit(0.0))
+    return let(F.lower(text), lambda low: F.when(F.size(keywords) > 0, F.size(F.filter(keywords, lambda k: (k != "") & F.contains(low, F.lower(k)))) / F.size(keywords)).otherwise(F.lit(0.0)))
 
 
 def first_filled(*texts: Column) -> Column:
@@ -147,8 +156,7 @@ def slug(text: Column) -> Column:
 def distinct_ignoring_case(items: Column, most: int) -> Column:
     """Trimmed items without blanks, each spelling-by-case once in order, at most so many."""
     kept = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    once = F.filter(kept, lambda x, i: F.array_position(F.transform(kept, lambda y: F.lower(y)), F.lower(x)) == i + 1)
-    return F.slice(once, 1, most)
+    return let(kept, lambda k: let(F.transform(k, lambda y: F.lower(y)), lambda low: F.slice(F.filter(k, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, most)))
 
 
 def from_html(html: Column) -> Column:
@@ -195,7 +203,14 @@ def json_in(text: Column) -> Column:
 def hashed_vector(text: Column, n: int = 4, dims: int = 4096) -> Column:
     """map(dimension -> weight): L2-normalised counts of hashed character n-grams. Sparse: never a dense array of all dimensions."""
     grams = F.transform(char_ngrams(F.lower(text), n), lambda g: F.pmod(F.crc32(F.encode(g, "UTF-8")), F.lit(dims)).cast("int"))
-    dim = F.array_sort(F.array_distinct(grams))
-    count = F.transform(dim, lambda d: F.size(F.filter(grams, lambda g: g == d)).cast("double"))
-    norm = F.sqrt(F.aggregate(count, F.lit(0.0), lambda a, x: a + x * x))
-    return F.map_from_arrays(dim, F.transform(count, lambda c: c / norm))
+
+    def weights(g: Column) -> Column:
+        counts = let(F.array_sort(F.array_distinct(g)), lambda ds: F.transform(ds, lambda d: F.struct(d.alias("d"), F.size(F.filter(g, lambda x: x == d)).cast("double").alias("c"))))
+
+        def normed(cs: Column) -> Column:
+            norm = F.sqrt(F.aggregate(cs, F.lit(0.0), lambda a, x: a + x["c"] * x["c"]))
+            return let(norm, lambda z: F.map_from_entries(F.transform(cs, lambda x: F.struct(x["d"], x["c"] / z))))
+
+        return let(counts, normed)
+
+    return let(grams, weights)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quern.functions.stats import bin_of, idf
+from quern.functions.text import let
 
 
 def as_key(c: Column, kind: T.DataType | None = None) -> Column:
@@ -117,10 +118,13 @@ def profile(tokens: DataFrame, vocabulary: Sequence[str], token: str = "token")
 
 def profile_distance(tokens: Column, frequencies: dict[str, float]) -> Column:
     """Mean relative deviation of a text from a profile; null without tokens (an infinite distance)."""
-    used = {w: f for w, f in frequencies.items() if f > 0}
+    used = sorted((w, f) for w, f in frequencies.items() if f > 0)
+    if not used:
+        return F.lit(None).cast("double")
+    profile = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(f).alias("f")) for w, f in used))
 
-    def part(w: str, f: float) -> Column:
-        return F.abs(F.size(F.filter(tokens, lambda t: t == w)) / F.size(tokens) - F.lit(f)) / F.lit(f)
+    def distance(t: Column) -> Column:
+        off = F.aggregate(profile, F.lit(0.0), lambda s, p: s + F.abs(F.size(F.filter(t, lambda x: x == p["w"])) / F.size(t) - p["f"]) / p["f"])
+        return F.when(F.size(t) > 0, off / len(used))
 
-    parts = [part(w, f) for w, f in sorted(used.items())]
-    return F.when(F.size(tokens) > 0, sum(parts, F.lit(0.0)) / len(used)) if used else F.lit(None).cast("double")
+    return let(tokens, distance)

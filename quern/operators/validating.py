@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import diacritic_ratio, gazetteer
+from quern.functions.text import diacritic_ratio, gazetteer, let
 
 # Categories of records, and bounds in words by length band.
 TASK_TYPES = ("explanation", "reading", "safety", "grounding", "correction")
@@ -24,8 +24,7 @@ def reasons(rules: dict[str, Column]) -> Column:
 
 def staged(first: dict[str, Column], then: dict[str, Column]) -> Column:
     """Reasons of the first stage if there are any, else of the second."""
-    a = reasons(first)
-    return F.when(F.size(a) > 0, a).otherwise(reasons(then))
+    return let(reasons(first), lambda a: F.when(F.size(a) > 0, a).otherwise(reasons(then)))
 
 
 def marked_word_share(text: Column) -> Column:
@@ -42,14 +41,14 @@ def record_reasons(df: DataFrame) -> Column:
     known = {"task_type": TASK_TYPES, "length_band": tuple(LENGTH_BOUNDS), "register": REGISTERS}
     first |= {f"schema:{c}:value": F.col(c).isNotNull() & ~F.col(c).isin(*v) for c, v in known.items()}
     first["schema:orientation_count"] = F.size("orientations") != F.size("cards_used")
-    first |= {f"schema:empty_{c}": F.trim(c) == "" for c in ("question_vi", "target_vi", "reading_vi")}
+    first |= {f"schema:empty_{c}": ~F.col(c).rlike(r"[^\s\x0B\x85\p{Z}]") for c in ("question_vi", "target_vi", "reading_vi")}
     text, low = F.col("target_vi"), F.lower("target_vi")
-    n = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    n = F.regexp_count(text, F.lit(r"[^\s\x0B\x85\p{Z}]+"))
     out = reduce(lambda a, k: a.when(F.col("length_band") == k, ~n.between(*LENGTH_BOUNDS[k])), LENGTH_BOUNDS, F.when(F.lit(False), F.lit(False)))
     then = {
         "lang_id": marked_word_share(text) < 0.15,
         "length_bounds": out,
-        "card_containment": F.exists("cards_used", lambda c: ~F.contains(low, F.lower(c["name_en"]))),
+        "card_containment": let(low, lambda t: F.exists("cards_used", lambda c: ~F.contains(t, F.lower(c["name_en"])))),
         "orientation_no_marker": F.exists("cards_used", lambda c: c["orientation"] == "reversed") & ~F.contains(low, F.lit("ngược")),
     }
     return staged(first, then)
@@ -57,15 +56,14 @@ def record_reasons(df: DataFrame) -> Column:
 
 def name_containment(text: Column, drawn: Column, names: Sequence[str]) -> Column:
     """struct(found, missing, extra): names of the gazetteer in the text against the drawn ones, all in lower case."""
-    found = gazetteer(text, names)
     d = F.transform(drawn, lambda x: F.lower(x))
-    return F.struct(found.alias("found"), F.array_except(d, found).alias("missing"), F.array_except(found, d).alias("extra"))
+    return let(gazetteer(text, names), lambda found: F.struct(found.alias("found"), F.array_except(d, found).alias("missing"), F.array_except(found, d).alias("extra")))
 
 
 def orientation_conflicts(draws: DataFrame, kb: DataFrame, text: str, least: int = 2) -> DataFrame:
     """Exploded draws (..., card_id, orientation) in the text of which a reversed card has at least so many of its upright keywords, of 4 letters or more. ``kb`` (card_id, orientation, keywords) has two rows a card."""
     up = kb.where("orientation = 'upright'").select("card_id", F.col("keywords").alias("__k"))
-    hits = F.filter(F.transform("__k", lambda k: F.trim(k)), lambda k: (F.length(k) >= 4) & F.contains(F.lower(text), F.lower(k)))
+    hits = let(F.lower(text), lambda low: F.filter(F.transform("__k", lambda k: F.trim(k)), lambda k: (F.length(k) >= 4) & F.contains(low, F.lower(k))))
     return draws.where("orientation = 'reversed'").join(F.broadcast(up), "card_id").withColumn("hits", F.array_distinct(hits)).where(F.size("hits") >= least).drop("__k")
 
 
@@ -82,7 +80,7 @@ def keyword_collisions(texts: DataFrame, id: str, text: str, drawn: str, kb: Dat
     names = [r[0] for r in words.select("keyword").distinct().orderBy("keyword").collect()]
     if not names:
         return texts.select(id, F.lit(0).alias("card_id"), F.lit(0).alias("hits")).limit(0)
-    t = texts.select(id, drawn, F.filter(F.array(*map(F.lit, names)), lambda k: F.contains(F.lower(text), k)).alias("ks")).where(F.size("ks") >= least)
+    t = texts.select(id, drawn, let(F.lower(text), lambda low: F.filter(F.lit(names), lambda k: F.contains(low, k))).alias("ks")).where(F.size("ks") >= least)
     hit = t.select(id, drawn, F.explode("ks").alias("keyword")).join(F.broadcast(words), "keyword").where(~F.array_contains(drawn, F.col("card_id")))
     return hit.groupBy(id, "card_id").agg(F.count("*").alias("hits")).where(F.col("hits") >= least)
 

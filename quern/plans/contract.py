@@ -450,16 +450,22 @@ def minhash_neardup(spark, d):
     return deduplicating.cascade(t, "doc_id", "text", F.sha2("text", 256), None, F.col("doc_id"), F.lit(False))
 
 
+def _with_near_copies(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    near = F.transform("v", lambda x, i: x + 0.03 * ((i + F.col("vec_id")) % 3 - 1))
+    return e.union(e.select(F.col("vec_id") + 1_000_000, near))
+
+
 @query()
 def diversity_greedy(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    scored = ordering.ranked(e.select("vec_id", F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.abs(x).cast("double")).alias("score")), [F.desc("score"), F.asc("vec_id")])
-    return deduplicating.greedy_keep(scored, deduplicating.cosine_pairs(e, "vec_id", "embedding", 0.92), "vec_id", "rank")
+    e = _with_near_copies(spark, d)
+    scored = ordering.ranked(e.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)), 9).alias("score")), [F.desc("score"), F.asc("vec_id")])
+    return deduplicating.greedy_keep(scored, deduplicating.cosine_pairs(e, "vec_id", "v", 0.92), "vec_id", "rank")
 
 
-@query("select a.vec_id as a, b.vec_id as b from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.92")
+@query("with e as (select vec_id, embedding::double[] as v from embeddings), n as (from e union all select vec_id + 1000000, list_transform(v, lambda x, i: x + 0.03::double * ((i - 1 + vec_id) % 3 - 1)) from e) select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id < b.vec_id where list_cosine_similarity(a.v, b.v) >= 0.92")
 def embedding_neardup(spark, d):
-    return deduplicating.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.92).select("a", "b")
+    return deduplicating.cosine_pairs(_with_near_copies(spark, d), "vec_id", "v", 0.92).select("a", "b")
 
 
 @query(f"""with p as (select o_orderkey, o_totalprice, row_number() over (order by o_totalprice desc, o_orderkey) as r, count(*) over () as n from orders), k as (select *, r <= greatest(1, round_even(n * 0.85, 0)) as kept from p)
@@ -505,7 +511,7 @@ def _reason_sql() -> str:
     known = {"task_type": validating.TASK_TYPES, "length_band": tuple(validating.LENGTH_BOUNDS), "register": validating.REGISTERS}
     first += [f"case when {c} is not null and {c} not in {v} then 'schema:{c}:value' end" for c, v in known.items()]
     first += ["case when len(orientations) <> len(cards_used) then 'schema:orientation_count' end"]
-    first += [f"case when trim({c}) = '' then 'schema:empty_{c}' end" for c in ("question_vi", "target_vi", "reading_vi")]
+    first += [f"case when not regexp_matches({c}, '[^\\s\\x0b\\x{{85}}\\p{{Z}}]') then 'schema:empty_{c}' end" for c in ("question_vi", "target_vi", "reading_vi")]
     words = "list_filter(regexp_extract_all(target_vi, '[^\\s\\x0b\\x{85}\\p{Z}]+'), lambda x: x <> '')"
     solid = f"list_filter({words}, lambda x: regexp_matches(x, '[\\pL\\pN]'))"
     bounds = " ".join(f"when length_band = '{k}' then len({words}) not between {a} and {b}" for k, (a, b) in validating.LENGTH_BOUNDS.items())
@@ -531,7 +537,9 @@ def reason_counts(spark, d):
     return aggregating.exploded_counts(r, F.split("reasons", ","), "reason")
 
 
-@query(f"""with c as (select distinct lower(name_en) as n from cards) select example_id, array_to_string(list_sort((select list(n) from c where list_contains(list_transform(cards_used, lambda u: lower(u.name_en)), n) and not regexp_matches(lower(reading_vi), '(^|[^\\pL\\pN_])' || n || '($|[^\\pL\\pN_])'))), '|') as missing from {ONCE} where reading_vi is not null and len(cards_used) > 0""")
+@query(f"""with u as (select example_id, lower(reading_vi) as t, unnest(cards_used) as c from {ONCE} where reading_vi is not null and len(cards_used) > 0),
+    m as (select example_id, lower(c.name_en) as n, not regexp_matches(t, '(^|[^\\pL\\pN_])' || lower(c.name_en) || '($|[^\\pL\\pN_])') as missing from u)
+    select example_id, string_agg(distinct n, '|' order by n) filter (missing) as missing from m group by 1""")
 def name_containment(spark, d):
     names = [r[0] for r in table(spark, d, "cards").select("name_en").distinct().collect()]  # fixed, 78
     r = records(spark, d, "reading_vi", "cards_used").where(F.col("reading_vi").isNotNull() & (F.size("cards_used") > 0))
