@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The letters of the Vietnamese tokenizer beside 0-9 and a-z.
 MARKED = "àáạảãâầấậẩẫăằắặẳẵèéẹẻẽêềếệểễìíịỉĩòóọỏõôồốộổỗơờớợởỡùúụủũưừứựửữỳýỵỷỹđ"
@@ -52,7 +53,7 @@ def word_split(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[^\s\x0B\x85\p{Z}]+"), F.lit(0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
@@ -101,7 +102,7 @@ def has_term(text: Column, term: str) -> Column:
 
 def term_hits(text: Column, terms: Iterable[str]) -> Column:
     """Number of terms that occur at least once."""
-    return let(F.lower(text), lambda low: sum((F.when(has_term(low, t), 1).otherwise(0) for t in terms), F.lit(0)))
+    return let(F.lower(text), lambda low: sum((F.when(F.contains(low, F.lit(t)) & has_term(low, t), 1).otherwise(0) for t in terms), F.lit(0)))
 
 
 def polarity(text: Column, up: Sequence[str] = UPRIGHT_TERMS, down: Sequence[str] = REVERSED_TERMS, epsilon: float = 0.15) -> Column:

@@ -31,8 +31,8 @@ def sessions(stream: DataFrame, time: str, delay: str, gap: str, by: Sequence[st
     return g.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *[c for c in g.columns if c != "w"])
 
 
-def ring_log(stream: DataFrame, key: str, line: str, capacity: int = 5000, ttl_ms: int = 3_600_000) -> DataFrame:
-    """(key, first_offset, next_offset, truncated, lines): after each batch the last ``capacity`` lines of each key, with global offsets. Idle keys time out."""
+def ring_log(stream: DataFrame, key: str, line: str, capacity: int = 5000, ttl_ms: int | None = 3_600_000) -> DataFrame:
+    """(key, first_offset, next_offset, truncated, lines): after each batch the last ``capacity`` lines of each key, with global offsets. Keys idle for ``ttl_ms`` are forgotten; with None never, which a run over what there is now needs: a processing-time timeout keeps it waiting."""
 
     def f(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -44,11 +44,12 @@ def ring_log(stream: DataFrame, key: str, line: str, capacity: int = 5000, ttl_m
             n += len(p)
             lines = (lines + p[line].tolist())[-capacity:]
         state.update((n, lines))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({key: [k[0]], "first_offset": [n - len(lines)], "next_offset": [n], "truncated": [n > len(lines)], "lines": [lines]})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.select(key, line).groupBy(key).applyInPandasWithState(f, f"{key} {kind}, first_offset long, next_offset long, truncated boolean, lines array<string>", "n long, lines array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.select(key, line).groupBy(key).applyInPandasWithState(f, f"{key} {kind}, first_offset long, next_offset long, truncated boolean, lines array<string>", "n long, lines array<string>", "update", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def near_duplicate_sink(store: str, pairs: Callable[[DataFrame, DataFrame], DataFrame], id: str) -> Callable[[DataFrame, int], None]:
