@@ -191,4 +191,18 @@ def p9_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_sample, p2_report, p3_found, p3_links, p4_found, p4_texts, p5_found, p5_splits, p6_found, p6_labels, p7_ids, p8_found, p8_mix, p8_report, p9_found, p9_passages)}
-ORACLES: dict[str, str] = {}
+# SQL where it can say the result; the others are tested against brute force and definitions (tests/llm).
+ORACLES: dict[str, str] = {
+    "p2_found": """with r as (select example_id, min(task_type) as task_type, min(register) as register, min(length_band) as length_band, min(querent_context) as querent_context from sft_rows group by 1),
+        u as (unpivot r on task_type, register, length_band, querent_context into name dimension value category),
+        h as (select dimension, lower(trim(nfc_normalize(category))) as form, count(*) as n from u group by 1, 2)
+        select t.dimension, t.category from sample_targets t left join h on h.dimension = t.dimension and h.form = lower(trim(nfc_normalize(t.category)))
+        where coalesce(n, 0) < greatest(min_rows, ceil(round(target_share * sample_size, 6)))""",
+    "p5_found": """with recursive k as (select distinct example_id as id, case when spread_id is not null and len(c) > 0 then spread_id || list_sort(list_distinct(c))::varchar end as draw, safety_category || '/' || matched_pair_id as pair
+            from (select *, list_filter(coalesce(card_ids, list_transform(cards_used, lambda x: x.card_id)), lambda x: x is not null) as c from sft_rows)),
+        h as (select id, min(id) over (partition by draw) as head from k where draw is not null union select id, min(id) over (partition by pair) from k where pair is not null),
+        e as (select id as x, head as y from h union select head, id from h),
+        reach as (select distinct id, id as root from k union select e.y, reach.root from reach join e on e.x = reach.id),
+        g as (select id, min(root) as group_id, count(*) as n from reach group by 1)
+        select id as example_id, group_id from g where n > 1""",
+}
