@@ -14,9 +14,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quern.functions.stats import lane_coefficients
+from quern.functions.text import let
 from quern.plans.lineage import checkpoint
 
 PRIME = (1 << 31) - 1
@@ -116,28 +118,31 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, id: str, rank: str, protecte
     return n.join(dropped.distinct().withColumn("__d", F.lit(True)), "id", "left").select(F.col("id").alias(id), F.col("__d").isNull().alias("kept"))
 
 
-def cosine_pairs(vectors: DataFrame, id: str, vector: str, least: float, *, tables: int = 12, bits: int = 8, dims: int = 64, seed: int = 7) -> DataFrame:
+def cosine_pairs(vectors: DataFrame, id: str, vector: str, least: float, *, tables: int = 24, bits: int = 8, dims: int = 64, seed: int = 7) -> DataFrame:
     """(a, b, cosine), a < b: pairs of dense vectors at least so alike, by random-hyperplane tables and an exact check.
 
     Vectors with the same numbers are one node first. A pair at angle t shares
     one of the tables' buckets with chance 1 - (1 - (1 - t/pi)^bits)^tables; at
-    cosine 0.92 that is 0.999. Neighbouring buckets aren't probed.
+    cosine 0.92 that is 0.9999. Neighbouring buckets aren't probed.
     """
     planes = np.random.RandomState(seed).standard_normal((tables * bits, dims))
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def bucket_keys(v: pd.Series) -> pd.Series:
+        side = (np.stack(v.to_numpy()) @ planes.T > 0).reshape(len(v), tables, bits)
+        return pd.Series(list(side @ (1 << np.arange(bits)) + (np.arange(tables) << bits)))
+
     unit = F.transform(vector, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x * x))
-    d = checkpoint(vectors.select(F.col(id).alias("id"), F.when(norm > 0, F.transform(unit, lambda x: x / norm)).alias("v")).where("v is not null"))
-    same = d.groupBy(F.sha2(F.to_json("v"), 256).alias("h")).agg(F.min("id").alias("id"), F.first("v").alias("v"))
-    flat = F.lit(planes.ravel().tolist())
-    dot = lambda k: F.aggregate(F.zip_with("v", F.slice(flat, k * dims + 1, dims), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    sign = F.transform(F.sequence(F.lit(0), F.lit(tables * bits - 1)), lambda k: (dot(k) > 0).cast("int"))
-    keyed = checkpoint(same.select("id", "v", sign.alias("sign")))
-    buckets = keyed.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.xxhash64(t, F.slice("sign", t * bits + 1, bits)))).alias("k"))
+    d = checkpoint(vectors.select(F.col(id).alias("id"), let(norm, lambda z: F.when(z > 0, F.transform(unit, lambda x: x / z))).alias("v")).where("v is not null"))
+    keyed = d.groupBy(F.sha2(F.to_json("v"), 256).alias("h")).agg(F.min("id").alias("id"), F.first("v").alias("v"))
+    keyed = checkpoint(keyed)
+    buckets = keyed.select("id", F.explode(bucket_keys("v")).alias("k"))
     pairs = buckets.select(F.col("id").alias("a"), "k").join(buckets.select(F.col("id").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
     both = pairs.join(keyed.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(keyed.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
     cos = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     found = both.select("a", "b", cos.alias("cosine")).where(F.col("cosine") >= least)
-    copies = d.select(F.sha2(F.to_json("v"), 256).alias("h"), F.col("id").alias("b")).join(same.select("h", F.col("id").alias("a")), "h").where("a < b").select("a", "b", F.lit(1.0).alias("cosine"))
+    copies = d.select(F.sha2(F.to_json("v"), 256).alias("h"), F.col("id").alias("b")).join(keyed.select("h", F.col("id").alias("a")), "h").where("a < b").select("a", "b", F.lit(1.0).alias("cosine"))
     return found.union(copies)
 
 
@@ -160,10 +165,6 @@ def cascade(df: DataFrame, id: str, text: str, key: Column, structure: Sequence[
     return out.select(id, F.when(F.col("x").isNull(), "exact").when(F.col("s").isNull(), "structural").when(~F.col("kept"), "near").otherwise("kept").alias("stage"))
 
 
-def stream_safe_key(*columns: str) -> Column:
-    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-
-
 def latest(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """Last-wins row per key; ``order`` must be unique within a key."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(order.desc()))).where("__r = 1").drop("__r")

@@ -243,3 +243,14 @@ def test_schedule_every_hour_and_the_edges(spark):
 def test_layers(spark):
     d = spark.createDataFrame([(1, 100, None), (2, 90, None), (3, 80, 3), (4, 85, None)], "no int, kept int, dropped int")
     assert [r["lost"] for r in aggregating.layer_loss(d, "no", "kept", "dropped").orderBy("no").collect()] == [0, 10, 3, 0]
+
+
+def test_cosine_pairs_against_all_pairs(spark):
+    rng = random.Random(5)
+    base = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(80)]
+    rows = [(i, v) for i, v in enumerate(base)] + [(100 + i, [x + rng.gauss(0, 0.2) for x in v]) for i, v in enumerate(base)] + [(500, base[0]), (501, [0.0] * 64)]
+    d = spark.createDataFrame(rows, "id int, v array<double>")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / max((sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5, 1e-12)
+    want = {(i, j) for i, a in rows for j, b in rows if i < j and cos(a, b) >= 0.92}
+    got = {(r["a"], r["b"]) for r in deduplicating.cosine_pairs(d, "id", "v", 0.92).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and (0, 500) in got and len(want) > 50
