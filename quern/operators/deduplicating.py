@@ -68,7 +68,7 @@ def minhash(text: Column, k: int = 128, shingle: int = 5, seed: int = 7) -> Colu
 def banded_pairs(df: DataFrame, id: str, lanes: str, words: str, *, bands: int = 32, agree: float = 0.85, window: float = 1.2) -> DataFrame:
     """(a, b), a < b: pairs whose share of equal lanes reaches ``agree``, sizes within the window either way.
 
-    Rows with the same lanes are one node, with their least id. Candidates share
+    Rows with the same lanes are one node, with their least id, see ``with_copies``. Candidates share
     a band of lanes; with 32 bands of 4 lanes a pair at 0.85 is missed with a
     chance of (1 - 0.85^4)^32 = 1e-10. Bands are also keyed by the size's
     logarithm, so a bucket holds only sizes that may match.
@@ -85,8 +85,17 @@ def banded_pairs(df: DataFrame, id: str, lanes: str, words: str, *, bands: int =
     la, lb = d.select(F.col(id).alias("a"), F.col(lanes).alias("la")), d.select(F.col(id).alias("b"), F.col(lanes).alias("lb"))
     equal = F.aggregate(F.zip_with("la", "lb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
     found = pairs.join(la, "a").join(lb, "b").where(equal >= agree * F.size("la")).select("a", "b")
-    copies = df.select(F.xxhash64(lanes).alias("node"), words, F.col(id).alias("b")).join(same.select("node", words, F.col(id).alias("a")), ["node", words]).where("a < b").select("a", "b")
-    return found.union(copies)
+    copies = df.select(F.xxhash64(lanes).alias("node"), words, F.col(id).alias("copy")).join(same.select("node", words, F.col(id).alias("rep")), ["node", words]).where("copy <> rep").select("rep", "copy")
+    return with_copies(found, copies)
+
+
+def with_copies(found: DataFrame, copies: DataFrame) -> DataFrame:
+    """Pairs (a, b) of representatives, and each representative with its own copies and with those of its partners. Copies aren't paired with copies: a later row is never kept beside an equal first one, so greedy removal needs no more where the representative is the first of its equals."""
+    c = checkpoint(copies)
+    both = found.select("a", "b").union(found.select("b", "a"))
+    more = both.join(c.withColumnRenamed("rep", "b"), "b").select("a", F.col("copy").alias("b"))
+    out = found.select("a", "b").union(more).union(c.select(F.col("rep").alias("a"), F.col("copy").alias("b")))
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def greedy_keep(nodes: DataFrame, pairs: DataFrame, id: str, rank: str, protected: Column | None = None, most: int = 100) -> DataFrame:
@@ -119,9 +128,9 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, id: str, rank: str, protecte
 
 
 def cosine_pairs(vectors: DataFrame, id: str, vector: str, least: float, *, tables: int = 24, bits: int = 8, dims: int = 64, seed: int = 7) -> DataFrame:
-    """(a, b, cosine), a < b: pairs of dense vectors at least so alike, by random-hyperplane tables and an exact check.
+    """(a, b), a < b: pairs of dense vectors at least so alike, by random-hyperplane tables and an exact check.
 
-    Vectors with the same numbers are one node first. A pair at angle t shares
+    Vectors with the same numbers are one node first, see ``with_copies``. A pair at angle t shares
     one of the tables' buckets with chance 1 - (1 - (1 - t/pi)^bits)^tables; at
     cosine 0.92 that is 0.9999. Neighbouring buckets aren't probed.
     """
@@ -141,9 +150,9 @@ def cosine_pairs(vectors: DataFrame, id: str, vector: str, least: float, *, tabl
     pairs = buckets.select(F.col("id").alias("a"), "k").join(buckets.select(F.col("id").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
     both = pairs.join(keyed.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(keyed.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
     cos = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    found = both.select("a", "b", cos.alias("cosine")).where(F.col("cosine") >= least)
-    copies = d.select(F.sha2(F.to_json("v"), 256).alias("h"), F.col("id").alias("b")).join(keyed.select("h", F.col("id").alias("a")), "h").where("a < b").select("a", "b", F.lit(1.0).alias("cosine"))
-    return found.union(copies)
+    found = both.where(cos >= least).select("a", "b")
+    copies = d.select(F.sha2(F.to_json("v"), 256).alias("h"), F.col("id").alias("copy")).join(keyed.select("h", F.col("id").alias("rep")), "h").where("copy <> rep").select("rep", "copy")
+    return with_copies(found, copies)
 
 
 def sparse_pairs(vectors: DataFrame, id: str, vector: str, candidates: DataFrame, least: float) -> DataFrame:
@@ -154,12 +163,13 @@ def sparse_pairs(vectors: DataFrame, id: str, vector: str, candidates: DataFrame
 
 
 def cascade(df: DataFrame, id: str, text: str, key: Column, structure: Sequence[Column] | None, position: Column, protected: Column, agree: float = 0.85) -> DataFrame:
-    """(id, stage): why each row went - exact, structural, near - or kept. Cheapest stages first, each on the survivors of the one before."""
+    """(id, stage): why each row went - exact, structural, near - or kept. Cheapest stages first, each on the survivors of the one before. ``position`` is unique and orders the rows."""
     d = checkpoint(df.withColumn("__pos", position).withColumn("__key", key).withColumn("__safe", F.coalesce(protected, F.lit(False))))
     a = exact(d, F.col("__key"), F.col("__pos"))
     b = structural(a, structure, F.col("__pos"), F.col("__safe")) if structure else a
     b = checkpoint(b.withColumn("__lanes", minhash(F.col(text))).withColumn("__words", F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))))
-    keep = greedy_keep(b, banded_pairs(b.where(F.col(text).isNotNull()), id, "__lanes", "__words", agree=agree), id, "__pos", F.col("__safe"))
+    keep = greedy_keep(b, banded_pairs(b.where(F.col(text).isNotNull()), "__pos", "__lanes", "__words", agree=agree), "__pos", "__pos", F.col("__safe"))
+    keep = keep.join(b.select("__pos", id), "__pos").select(id, "kept")
     mark = lambda x, c: x.select(F.col(id), F.lit(True).alias(c)).distinct()
     out = d.select(id).join(mark(a, "x"), id, "left").join(mark(b, "s"), id, "left").join(keep.distinct(), id, "left")
     return out.select(id, F.when(F.col("x").isNull(), "exact").when(F.col("s").isNull(), "structural").when(~F.col("kept"), "near").otherwise("kept").alias("stage"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import canonical, stats, text
 from quern.operators import aggregating, conforming, deduplicating, filtering, integrity, ordering, partitioning, scheduling, validating
+from quern.plans.lineage import checkpoint
 from quern.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -459,8 +460,10 @@ def _with_near_copies(spark, d):
 @query()
 def diversity_greedy(spark, d):
     e = _with_near_copies(spark, d)
-    scored = ordering.ranked(e.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)), 9).alias("score")), [F.desc("score"), F.asc("vec_id")])
-    return deduplicating.greedy_keep(scored, deduplicating.cosine_pairs(e, "vec_id", "v", 0.92), "vec_id", "rank")
+    scored = ordering.ranked(e.select("vec_id", "v", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)), 9).alias("score")), [F.desc("score"), F.asc("vec_id")])
+    scored = checkpoint(scored.select("rank", "vec_id", "v"))
+    keep = deduplicating.greedy_keep(scored, deduplicating.cosine_pairs(scored, "rank", "v", 0.92), "rank", "rank")
+    return scored.select("rank", "vec_id").join(keep, "rank").select("vec_id", "kept")
 
 
 @query("with e as (select vec_id, embedding::double[] as v from embeddings), n as (from e union all select vec_id + 1000000, list_transform(v, lambda x, i: x + 0.03::double * ((i - 1 + vec_id) % 3 - 1)) from e) select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id < b.vec_id where list_cosine_similarity(a.v, b.v) >= 0.92")
