@@ -189,3 +189,31 @@ def test_shares(spark):
     out = splitting.assign_splits(rows, F.col("example_id"), {"draw": splitting.draw_key()}, F.col("task_type"), {"train": 0.85, "val": 0.08, "test": 0.07})
     share = {r["split"]: r["count"] / 4000 for r in out.groupBy("split").count().collect()}
     assert abs(share["train"] - 0.85) < 0.02 and abs(share["val"] - 0.08) < 0.02 and abs(share["test"] - 0.07) < 0.02
+
+
+def test_a_third_of_the_rows_are_copies(spark, rows):
+    hot = next(t for i, t in rows if i == "r0000")
+    many = [*rows, *((f"c{i:04d}", hot) for i in range(400))]
+    groups = {r["id"]: r["group_id"] for r in neardup.near_groups(frame(spark, many), F.col("rid"), F.col("body")).collect()}
+    assert all(groups[f"c{i:04d}"] == groups["r0000"] == "c0000" for i in range(400))
+    plain = {r["id"]: r["group_id"] for r in neardup.near_groups(frame(spark, rows), F.col("rid"), F.col("body")).collect()}
+    family = {i for i, g in plain.items() if g == plain["r0000"]}
+    assert {i for i, g in groups.items() if g == "c0000"} == family | {f"c{i:04d}" for i in range(400)}
+    label = spark.createDataFrame([(f"c{i:04d}", "train" if i else "test") for i in range(400)], "id string, split string")
+    assert overlap.cross_split_pairs(frame(spark, many), F.col("rid"), F.col("body"), label).count() == 399
+
+
+def test_a_sentence_that_all_texts_share(spark):
+    r = corpus(seed=8, families=15, singles=80)
+    shared = "Lời nhắn chung này đứng ở cuối mỗi bài để nhắc bạn rằng lá bài chỉ soi đường còn bước đi là của bạn và chỉ của bạn mà thôi."
+    all_ = [(i, f"{t} {shared}") for i, t in r]
+    links = neardup.near_links(frame(spark, all_), F.col("rid"), F.col("body"), block=16)
+    by = {x["node"]: x["id"] for x in links[0].orderBy("id").collect()}
+    got = {tuple(sorted((by[x["a"]], by[x["b"]]))) for x in links[1].collect()}
+    text = dict(all_)
+    want = {p for p in brute(all_) if words(text[p[0]]) != words(text[p[1]])}
+    members = {}
+    for x in links[0].collect():
+        members.setdefault(x["node"], []).append(x["id"])
+    full = {tuple(sorted((a, b))) for x in links[1].collect() for a in members[x["a"]] for b in members[x["b"]]}
+    assert full == want and got
