@@ -72,6 +72,19 @@ def test_near_links_against_brute_force(spark, rows):
     assert got == brute(rows) and len(got) > 50
 
 
+def evenly_edited(step):
+    """Two long texts of which every ``step``-th word differs."""
+    a = [f"chữ{i}" for i in range(420)]
+    return [("a", " ".join(a)), ("b", " ".join(f"khác{i}" if i % step == step - 1 else w for i, w in enumerate(a)))]
+
+
+@pytest.mark.parametrize("step", [13, 14, 18, 24])
+def test_links_without_a_long_common_run(spark, step):
+    pair = evenly_edited(step)
+    assert like(pair[0][1], pair[1][1]) >= 0.6
+    assert neardup.near_links(frame(spark, pair), F.col("rid"), F.col("body"))[1].count() == 1
+
+
 def test_tiles_in_blocks_find_the_same(spark, rows):
     a = neardup.near_links(frame(spark, rows), F.col("rid"), F.col("body"))[1].select("a", "b").collect()
     b = neardup.near_links(frame(spark, rows), F.col("rid"), F.col("body"), block=2)[1].select("a", "b").collect()
