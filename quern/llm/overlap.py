@@ -1,10 +1,10 @@
-"""Cross-split overlap: edit-distance segment join.
+"""Cross-split overlap: exact set-similarity join of training and evaluation texts.
 
-Evaluation texts are cut into k+1 adjacent segments of a fixed number of words;
-training texts are searched for them at every place (a likeness of word runs
-doesn't depend on order, so every position is an allowed one); pairs with a
-segment in common and enough room in their signatures are verified exactly,
-and banded dynamic programming gives their edit distance in words.
+Texts are cut into word runs; by the prefix filter of ``neardup`` every pair
+whose likeness reaches the threshold meets at one of its rarest runs, whatever
+the length of the texts and wherever the edits are. Pairs with enough room in
+their sizes and signatures are verified exactly, and banded dynamic programming
+gives their edit distance in words.
 """
 
 from __future__ import annotations
@@ -14,56 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.neardup import SIG, SIG_SCHEMA, likeness
-from quern.llm.words import Batch, among, bitmap, distinct, lists, per_batch, signatures, words
+from quern.llm.neardup import SIG, candidates, features, frequencies, likeness
+from quern.llm.words import Batch, among, bitmap, lists, per_batch, words
 from quern.plans.lineage import checkpoint, stored
 
-#: (longest text in words or None, words of a segment)
-LAYERS = ((100, 4), (None, 12))
-
-
-def _kept(b: pa.RecordBatch, least_words: int) -> tuple[list[int], Batch | None]:
-    own = [words(t) for t in b.column("text").to_pylist()]
-    keep = [i for i, w in enumerate(own) if len(w) >= max(least_words, 1)]
-    return keep, Batch([own[i] for i in keep]) if keep else None
-
-
-def _segments(full: Batch, layers, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    n = len(full.n)
-    return distinct(*(np.concatenate(x) for x in zip(*(full.segments(size, full.n <= most if most else np.ones(n, bool), seed=100 + i, every=every) for i, (most, size) in enumerate(layers)), strict=True)))
-
-
-def evaluation_segments(rows: DataFrame, shingle: int, least_words: int, layers, maybe) -> DataFrame:
-    """(id, node, n, s0.., keys) of rows (id, text, hash) whose hash may be an evaluation id's."""
-
-    def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        b = b.filter(pa.array(among(b.column("hash").to_numpy(), maybe.value)))
-        keep, full = _kept(b, least_words)
-        if full is None:
-            return None
-        n = len(keep)
-        doc, h = full.shingles(shingle)
-        return pa.RecordBatch.from_arrays([b.column("id").take(pa.array(keep)), pa.array(full.nodes()), pa.array(np.bincount(doc, minlength=n).astype(np.int32)), *map(pa.array, signatures(doc, h, n)), lists(*_segments(full, layers, False), n)], ["id", "node", "n", *SIG, "keys"])
-
-    return rows.mapInArrow(per_batch(f), f"id string, node long, n int, {SIG_SCHEMA}, keys array<long>")
-
-
-def matching_substrings(rows: DataFrame, shingle: int, least_words: int, layers, wanted) -> DataFrame:
-    """(id, node, n, s0.., keys): the windows, at all places, that may be one of the wanted segments."""
-
-    def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        keep, full = _kept(b, least_words)
-        if full is None:
-            return None
-        n = len(keep)
-        d, k = _segments(full, layers, True)
-        hit = among(k, wanted.value)
-        d, k = d[hit], k[hit]
-        doc, h = full.shingles(shingle)
-        return pa.RecordBatch.from_arrays([b.column("id").take(pa.array(keep)), pa.array(full.nodes()), pa.array(np.bincount(doc, minlength=n).astype(np.int32)), *map(pa.array, signatures(doc, h, n)), lists(d, k, n)], ["id", "node", "n", *SIG, "keys"])
-
-    return rows.mapInArrow(per_batch(f), f"id string, node long, n int, {SIG_SCHEMA}, keys array<long>")
-
 
 def word_codes(rows: DataFrame, wanted) -> DataFrame:
     """(node, codes): the word sequences of rows (id, text, hash) whose hash may be among the wanted."""
@@ -134,34 +88,33 @@ def _runs(seq: np.ndarray, k: int) -> np.ndarray:
     return np.unique(b.windows(k)) if len(seq) >= k else np.array([], np.uint64)
 
 
-def cross_split_pairs(rows: DataFrame, id: Column, text: Column, splits: DataFrame, *, train: str = "train", threshold: float = 0.6, shingle: int = 3, least_words: int = 30, band: int = 16, layers=LAYERS) -> DataFrame:
+def cross_split_pairs(rows: DataFrame, id: Column, text: Column, splits: DataFrame, *, train: str = "train", threshold: float = 0.6, shingle: int = 3, least_words: int = 30, band: int = 16, block: int = 1 << 18) -> DataFrame:
     """Pairs (train_id, eval_id, split, likeness, edit_distance) of a train and an evaluation record alike.
 
     ``splits`` has (id, split), split already one of the labels; an id with
     several labels counts with each, ids without rows count for nothing, as do
-    null ids, labels and texts, and texts under ``least_words`` words. A pair is
-    found if it shares a run of 23 words (7 where both have at most 100). Rows
-    with the same words are compared once and joined again at the end.
+    null ids, labels and texts, and texts under ``least_words`` words. All such
+    pairs are found. Rows with the same words are compared once and joined again
+    at the end.
     """
     spark = rows.sparkSession
     src = rows.select(id.cast("string").alias("id"), text.cast("string").alias("text"), F.xxhash64(id.cast("string")).alias("hash")).where("id is not null and text is not null")
     label = splits.where("id is not null and split is not null").select("id", "split").distinct()
-    held = label.where(F.col("split") != train)
-    maybe = bitmap(spark, held.select(F.xxhash64("id").alias("h")))
-    ev = stored(evaluation_segments(src, shingle, least_words, layers, maybe).join(held.select("id").distinct(), "id", "left_semi"))
-    wanted = bitmap(spark, ev.select(F.explode("keys").alias("k")))
-    tr = stored(matching_substrings(src, shingle, least_words, layers, wanted).join(label.where(F.col("split") == train).select("id"), "id", "left_semi"))
-    e = ev.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), F.col("node").alias("e"), F.col("n").alias("ne"), *(F.col(s).alias(f"e{s}") for s in SIG))
-    t = tr.dropDuplicates(["node"]).select(F.explode("keys").alias("key"), F.col("node").alias("t"), F.col("n").alias("nt"), *(F.col(s).alias(f"t{s}") for s in SIG))
-    differ = sum((F.bit_count(F.col(f"e{s}").bitwiseXOR(F.col(f"t{s}"))) for s in SIG), F.lit(0))
-    total = F.col("ne") + F.col("nt")
-    room = (F.col("ne") >= threshold * F.col("nt") - 1e-9) & (F.col("nt") >= threshold * F.col("ne") - 1e-9) & (F.floor((total - differ) / 2) >= threshold / (1 + threshold) * total - 1e-9)
-    pairs = checkpoint(e.join(t, "key").where(room).select("e", "t").distinct())
+    sides = label.groupBy("id").agg(F.bit_or(F.when(F.col("split") == train, 1).otherwise(2)).alias("side"))
+    plain = src.select("id", F.lit(None).cast("string").alias("lead"), "text").join(sides.select("id"), "id", "left_semi")
+    made = stored(features(plain, shingle, least_words, threshold, frequencies(plain, shingle)))
+    of = made.select("id", "node").distinct()
+    side = checkpoint(of.join(sides, "id").groupBy("node").agg(F.bit_or("side").alias("side")))
+    nodes = made.dropDuplicates(["node"]).join(side, "node").select("node", "n", "side", *SIG, "prefix")
+    both = F.explode(F.array(F.struct(F.col("a").alias("e"), F.col("b").alias("t")), F.struct(F.col("b").alias("e"), F.col("a").alias("t")))).alias("p")
+    pairs = candidates(nodes, threshold, block).select(both).select("p.*")
+    pairs = pairs.join(side.where("side in (2, 3)").select(F.col("node").alias("e")), "e", "left_semi").join(side.where("side in (1, 3)").select(F.col("node").alias("t")), "t", "left_semi").select("e", "t")
+    pairs = checkpoint(pairs.union(side.where("side = 3").select(F.col("node").alias("e"), F.col("node").alias("t"))))
     ends = pairs.select(F.explode(F.array("e", "t")).alias("node")).distinct()
-    reps = ev.select("id", "node").union(tr.select("id", "node")).groupBy("node").agg(F.min("id").alias("id")).join(ends, "node").select(F.xxhash64("id").alias("h"))
+    reps = of.groupBy("node").agg(F.min("id").alias("id")).join(ends, "node").select(F.xxhash64("id").alias("h"))
     good = verified(pairs, word_codes(src, bitmap(spark, reps)), shingle, threshold, band)
-    te = tr.select(F.col("node").alias("t"), F.col("id").alias("train_id")).distinct()
-    es = ev.select(F.col("node").alias("e"), "id").distinct().join(held, "id").select("e", F.col("id").alias("eval_id"), "split")
+    te = of.join(label.where(F.col("split") == train).select("id"), "id").select(F.col("node").alias("t"), F.col("id").alias("train_id"))
+    es = of.join(label.where(F.col("split") != train), "id").select(F.col("node").alias("e"), F.col("id").alias("eval_id"), "split")
     return good.join(te, "t").join(es, "e").where("train_id <> eval_id").select("train_id", "eval_id", "split", "likeness", "edit_distance")
 
 

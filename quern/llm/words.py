@@ -76,32 +76,6 @@ class Batch:
         doc, h = self.doc[ok], self.windows(k)[self.start[self.doc[ok]] + self.at[ok]]
         return distinct(doc, h)
 
-    def anchors(self, k: int, w: int, of: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Winnowed windows: of each w successive windows of k words the least. Two texts with k+w-1 successive words in common have an anchor in common."""
-        h = self.windows(k, seed)
-        ok = (self.at + k <= self.n[self.doc]) & of[self.doc]
-        places = self.start[self.doc[ok]] + self.at[ok]
-        m = np.full(len(self.code) + w, _TOP, np.uint64)
-        m[places] = h[places]
-        first = np.minimum(self.n[self.doc[ok]] - k - (w - 1), 0) >= self.at[ok]  # a text with fewer than w windows: from its first place
-        starts = places[(self.at[ok] + k + w - 1 <= self.n[self.doc[ok]]) | (first & (self.at[ok] == 0))]
-        best, arg = m[starts], starts.copy()
-        for j in range(1, w):
-            less = m[starts + j] < best
-            best = np.where(less, m[starts + j], best)
-            arg = np.where(less, starts + j, arg)
-        arg = np.unique(arg)
-        back = np.zeros(len(self.code), np.int64)
-        back[places] = self.doc[ok]
-        return distinct(back[arg], h[arg])
-
-    def segments(self, size: int, of: np.ndarray, seed: int = 0, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Adjacent windows of ``size`` words (with ``every``: those at all places), and the last one."""
-        h = self.windows(size, seed)
-        left = self.n[self.doc] - self.at - size
-        ok = (left >= 0) & of[self.doc] & (every | (self.at % size == 0) | (left == 0))
-        return distinct(self.doc[ok], h[self.start[self.doc[ok]] + self.at[ok]])
-
 
 def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     o = np.lexsort((h, doc))

@@ -85,6 +85,14 @@ def test_links_without_a_long_common_run(spark, step):
     assert neardup.near_links(frame(spark, pair), F.col("rid"), F.col("body"))[1].count() == 1
 
 
+@pytest.mark.parametrize("step", [12, 18, 23])
+def test_overlap_without_a_long_common_run(spark, step):
+    pair = evenly_edited(step)
+    label = spark.createDataFrame([("a", "train"), ("b", "test")], "id string, split string")
+    got = overlap.cross_split_pairs(frame(spark, pair), F.col("rid"), F.col("body"), label).collect()
+    assert [(r["train_id"], r["eval_id"]) for r in got] == [("a", "b")]
+
+
 def test_tiles_in_blocks_find_the_same(spark, rows):
     a = neardup.near_links(frame(spark, rows), F.col("rid"), F.col("body"))[1].select("a", "b").collect()
     b = neardup.near_links(frame(spark, rows), F.col("rid"), F.col("body"), block=2)[1].select("a", "b").collect()
