@@ -159,8 +159,8 @@ class LanguageModel:
 def train(docs: DataFrame, text: Column, label: Column, *, per_language: int = 300, most_words: int = 6000) -> dict[str, list[str]]:
     """Vocabulary per language from a bounded sample of labelled documents.
 
-    Of each language ``per_language`` labelled documents, chosen by hash among
-    all, are read whole. Labels may be wrong: a word stays with a language only
+    Of each language ``per_language`` different labelled documents, chosen by
+    hash among all, are read whole. Labels may be wrong: a word stays with a language only
     if its share of documents there is at least a third of its highest share
     anywhere; at most ``most_words`` words per language. Vietnamese words also
     stand without their marks.
@@ -175,7 +175,9 @@ def train(docs: DataFrame, text: Column, label: Column, *, per_language: int = 3
         if not by[g]:
             continue
         src = docs.where(label.isin(by[g])).select(text.cast("string").alias("t")).where("length(t) >= 40")
-        sample = src.orderBy(F.xxhash64("t"), "t").limit(per_language).toPandas()["t"].tolist()
+        src = src.withColumn("h", F.xxhash64("t"))
+        least = src.select("h").distinct().orderBy("h").limit(per_language)  # copies of a text count once
+        sample = src.join(F.broadcast(least), "h").distinct().orderBy("h", "t").limit(per_language).toPandas()["t"].tolist()
         df: Counter = Counter()
         for t in sample:
             df.update(set(_LETTERS.findall(consistent(t).lower())))

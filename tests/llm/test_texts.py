@@ -111,6 +111,14 @@ def test_held_out_languages(spark):
     assert langid.train(both.limit(0), F.col("text"), F.col("lang")) == {}
 
 
+def test_copies_of_a_document_count_once(spark):
+    texts = [f"{SENTENCES['vi'][i % 3]} từ{chr(97 + i)} khác nhau trong mỗi văn bản" for i in range(26)]
+    d = spark.createDataFrame([(t, "vi") for t in texts], "text string, lang string")
+    first = d.orderBy(F.xxhash64("text")).first()["text"]
+    hot = d.union(spark.createDataFrame([(first, "vi")] * 50, d.schema))
+    assert langid.train(hot, F.col("text"), F.col("lang"), per_language=20) == langid.train(d, F.col("text"), F.col("lang"), per_language=20)
+
+
 @pytest.mark.parametrize(("label", "want"), [("VI", "vi"), ("vi_VN", "vi"), ("Vietnamese", "vi"), ("deu", "de"), ("es-MX", "es"), ("French", "fr"), ("und", None), ("mul", None), ("??", None), (" ", None), (None, None), ("it", None)])
 def test_labels(label, want):
     assert langid.label_language(label) == want
