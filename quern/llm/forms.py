@@ -128,7 +128,7 @@ def consistent(text: str | None) -> str | None:
     return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
-#: A letter with marks after it, at most 3: longer piles are left to the exact check.
+#: A letter with marks after it, at most 3: longer piles are composed when the rewritten text is.
 PILE = re.compile(f"\\w[{_MARKS}]{{1,3}}")
 
 
@@ -217,11 +217,9 @@ class LookalikeModel:
 
     def rewrite(self, text: str) -> str:
         """Greedy: of the matches at a place the longest wins; then each mixed word takes the representatives of one script."""
-        if not len(self.auto):
-            return text
         out, at = [], 0
         best: dict[int, tuple[int, str, str]] = {}
-        for end, (n, m, rep) in self.auto.iter(text):
+        for end, (n, m, rep) in self.auto.iter(text) if len(self.auto) else ():
             if n > best.get(end - n + 1, (0,))[0]:
                 best[end - n + 1] = (n, m, rep)
         for start in sorted(best):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.forms import SUSPECT, LookalikeModel, consistent, symbols
+from quern.llm.forms import SUSPECT, LookalikeModel, symbols
 from quern.llm.words import per_batch
 
 
@@ -49,8 +49,8 @@ def learn(texts: DataFrame) -> dict[str, int]:
 def unify(rows: DataFrame, id: Column, text: Column, counts: dict[str, int], changed_only: bool = False) -> DataFrame:
     """(id, text, changed): each text in consistent form.
 
-    The learnt classes rewrite a text; where the plain definition gives another
-    result (piles of more than three marks) that one holds. Null and empty texts
+    The learnt classes rewrite a text; ``counts`` are those of ``learn`` over the
+    same texts. That the result is the plain definition's is tested. Null and empty texts
     come out as they are, unchanged. Repeated rows come out as often as they come in.
     """
     held = rows.sparkSession.sparkContext.broadcast(counts)
@@ -64,8 +64,6 @@ def unify(rows: DataFrame, id: Column, text: Column, counts: dict[str, int], cha
         for t in texts:
             if _suspect(t):
                 form = models[0].rewrite(t)
-                if form != (plain := consistent(t)):
-                    form = plain
                 out.append(form)
                 flags.append(form != t)
             else:

@@ -41,6 +41,17 @@ def test_model_agrees_with_the_definition():
     assert len(differ) < 0.02 * len(texts)  # random heaps of marks; the operator then takes the definition's form
 
 
+def test_model_decides_alone(spark):
+    # a mixed word in a corpus without any other look-alike symbol; piles of more than three marks
+    assert LookalikeModel({"T": 1, "а": 2, "р": 1, "о": 1}).rewrite("Tаро") == consistent("Tаро") != "Tаро"
+    rng = random.Random(6)
+    marks = "\u0301\u0302\u0303\u0323\u0306\u031b"
+    texts = ["".join(rng.choice("aeoư ДаеоσΟ\u200bｏ") + "".join(rng.choices(marks, k=rng.choice([0, 0, 1, 2, 4, 6]))) for _ in range(rng.randrange(1, 12))) for _ in range(1000)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
+    got = {r["id"]: r["text"] for r in lookalikes.unify(df, F.col("id"), F.col("text"), lookalikes.learn(df.select("text"))).collect()}
+    assert got == {str(i): consistent(t) for i, t in enumerate(texts)}
+
+
 def test_unify(spark):
     rows = [("a", "đаng"), ("b", "đang"), ("c", None), ("d", ""), ("e", "x​" * 20_000), ("a", "đаng")]
     df = spark.createDataFrame(rows, "id string, text string").withColumn("changed", F.lit(1))
