@@ -16,7 +16,7 @@ from quern.llm.words import WORD, per_batch
 from quern.plans.lineage import stored
 
 DEFECTS = ("empty", "copy", "refusal", "language", "truncated")
-SHORT = 45  # words: a reading of a card is longer, a refusal or a copied question isn't
+SHORT = 45  # words: a reading of a card is longer, most refusals aren't
 
 # Answers that only hold the place of one, without diacritics.
 PLACEHOLDERS = {"n a", "na", "null", "none", "nil", "nan", "todo", "tbd", "trong", "rong", "khong co", "chua co", "khong", "chua co noi dung", "khong co noi dung", "dang cap nhat", "cap nhat sau", "chua cap nhat", "chua tra loi", "khong co cau tra loi", "empty", "undefined", "xxx", "noi dung", "placeholder", "no answer", "no content"}
@@ -79,7 +79,7 @@ def _similar(a: list[str], b: list[str]) -> float:
 
 
 def votes(question: str | None, answer: str | None, task: str | None) -> int:
-    """Bit set of the labelling functions of ``FUNCTIONS`` that fire. Null and blank questions and task types fire nothing."""
+    """Bit set of the labelling functions of ``FUNCTIONS`` that fire. Null and blank questions fire nothing; the task type isn't used."""
     text = consistent(answer or "")
     low = text.lower()
     w = WORD.findall(low)
@@ -94,14 +94,16 @@ def votes(question: str | None, answer: str | None, task: str | None) -> int:
     vote("placeholder", n == 0 or n <= 6 and _bare(" ".join(w)) in PLACEHOLDERS)
     vote("tiny", n <= 4)
     q = WORD.findall(consistent(question or "").lower())
-    short = n < SHORT
-    if short and q:
+    if q:
         vote("words_of_question", n > 0 and _similar(q, w) >= 0.7)
         vote("covers_question", n > 0 and sum((Counter(q) & Counter(w)).values()) >= 0.7 * len(q))
         vote("as_long_as_question", 0.6 * len(q) <= n <= 2 * len(q) + 6)
-    if short and n:
-        vote("declines", bool(_REFUSES.search(low)))
-        vote("declines_early", bool(_REFUSES.search(" ".join(_SENTENCE.findall(low)[:1]))))
+    if n:
+        said = _SENTENCE.findall(low)
+        declining = [bool(_REFUSES.search(" ".join(x.split()))) for x in said if x.strip()]
+        mostly = n < SHORT or 2 * sum(declining) >= len(declining)  # a reading may decline to foretell and go on
+        vote("declines", mostly and bool(_REFUSES.search(low)))
+        vote("declines_early", mostly and bool(_REFUSES.search(" ".join(said[:1]))))
         vote("not_of_question", _similar(q, w) < 0.6)
     vote("brief", 4 < n < SHORT)
     if n >= 5:
@@ -129,7 +131,7 @@ FUNCTIONS = {
     "truncated": {"open_end": (0.98, 2e-3), "long_open": (0.95, 1e-3), "unclosed": (0.3, 1e-3)},
 }
 BIT = {f: i for i, f in enumerate(f for fs in FUNCTIONS.values() for f in fs)}
-#: Posteriors from which a label is kept, validated on labelled pairs (tests/llm/test_defects.py).
+#: Posteriors from which a label is kept; of 0.1, 0.2 .. 0.9 none does better on the labelled pairs (tests/llm/test_texts.py).
 CUTOFFS = dict.fromkeys(DEFECTS, 0.5)
 
 

@@ -59,6 +59,28 @@ def test_defects_on_labelled_pairs(spark):
     assert defects.label_pairs(d.limit(0), F.col("rid"), F.col("q"), F.col("a"), F.col("task")).count() == 0
 
 
+LONG_Q = " ".join(f"{w} {i}" for i, w in enumerate("tôi muốn hỏi về công việc gia đình tình cảm sức khỏe tiền bạc và đường đi sắp tới của mình trong năm nay khi mọi thứ cứ đổi thay".split())) + "?"
+LONG = [
+    (LONG_Q, LONG_Q, "copy"),
+    (Q, "Rất tiếc, mình không thể trả lời câu hỏi này của bạn hôm nay. Yêu cầu này nằm ngoài phạm vi hỗ trợ mà mình đang có. Mình xin từ chối luận bài lần này và mong bạn thông cảm. Với vai trò trợ lý, mình không được phép đưa ra lời khuyên như vậy.", "refusal"),
+    (Q, "Mình không thể đoán chắc tương lai. " + GOOD, None),
+]
+
+
+def labelled(cutoffs):
+    pairs = [(Q, a, w) for a, w in LABELLED] + LONG + [(Q, f"{GOOD} Lần {i}.", None) for i in range(400)]
+    v = [defects.votes(q, a, None) for q, a, _ in pairs]
+    post = defects.fit(dict(langid.Counter(v)))
+    return sum(next((d for d in defects.DEFECTS if post[d][p] >= cutoffs[d]), None) == w for p, (_, _, w) in zip(v, pairs, strict=True)), len(pairs)
+
+
+def test_long_copies_and_refusals_and_cutoffs():
+    assert all(len(a.split()) >= defects.SHORT for _, a, _ in LONG)
+    right, n = labelled(defects.CUTOFFS)
+    assert right == n
+    assert all(labelled({**defects.CUTOFFS, d: c / 10})[0] <= right for d in defects.DEFECTS for c in range(1, 10))
+
+
 def test_em_posteriors_are_probabilities():
     v = {defects.votes(Q, a, None): 5 for a, _ in LABELLED}
     post = defects.fit(v)
