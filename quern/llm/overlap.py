@@ -1,10 +1,12 @@
-"""Cross-split overlap: exact set-similarity join of training and evaluation texts.
-
-Texts are cut into word runs; by the prefix filter of ``neardup`` every pair
-whose likeness reaches the threshold meets at one of its rarest runs, whatever
-the length of the texts and wherever the edits are. Pairs with enough room in
-their sizes and signatures are verified exactly, and banded dynamic programming
-gives their edit distance in words.
+"""Cross-split overlap: evaluation texts cut into segments, matched in training texts, verified exactly.
+
+With a likeness of word runs an edit is a lost run: of the n runs of an
+evaluation text at most k = n - ceil(threshold n) may be lost. The segments are
+runs, and any k + 1 of them hold one that the training text has too; the rarest
+are taken (the prefixes of ``neardup``, where runs of one phrase form one
+segment), at the places that sizes allow. Moves are single edits here, so a
+distance in words can't decide; the verdict is the exact likeness. On request
+banded dynamic programming gives the distance in words of the pairs found.
 """
 
 from __future__ import annotations
@@ -14,24 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.neardup import SIG, candidates, features, frequencies, likeness
-from quern.llm.words import Batch, among, bitmap, lists, per_batch, words
+from quern.llm.neardup import SIG, candidates, classes, features, set_pairs, word_lists
+from quern.llm.words import Batch, bitmap, per_batch
 from quern.plans.lineage import checkpoint, stored
 
 
-def word_codes(rows: DataFrame, wanted) -> DataFrame:
-    """(node, codes): the word sequences of rows (id, text, hash) whose hash may be among the wanted."""
-
-    def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        b = b.filter(pa.array(among(b.column("hash").to_numpy(), wanted.value)))
-        if not b.num_rows:
-            return None
-        full = Batch([words(t) for t in b.column("text").to_pylist()])
-        return pa.RecordBatch.from_arrays([pa.array(full.nodes()), lists(full.doc, full.code[full.start[full.doc] + full.at], b.num_rows)], ["node", "codes"])
-
-    return rows.mapInArrow(per_batch(f), "node long, codes array<long>")
-
-
 def banded_distance(a: list[np.ndarray], b: list[np.ndarray], band: int) -> np.ndarray:
     """Edit distances in words of many pairs at once; -1 where it is above the band."""
     m = len(a)
@@ -60,59 +49,52 @@ def banded_distance(a: list[np.ndarray], b: list[np.ndarray], band: int) -> np.n
     return np.where(out > band, -1, out)
 
 
-def verified(pairs: DataFrame, codes: DataFrame, shingle: int, threshold: float, band: int) -> DataFrame:
-    """Pairs (e, t) of nodes with their exact likeness, where it reaches the threshold, and edit distance (null beyond the band)."""
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float, band: int | None) -> DataFrame:
+    """Pairs (e, t) of nodes with their exact likeness, where it reaches the threshold, and edit distance in words (null beyond the band, or without one)."""
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        sides = []
-        for c in ("ce", "ct"):
-            x = b.column(c)
-            v, o = x.values.to_numpy().view(np.uint64), x.offsets.to_numpy()
-            seq = [v[o[i] : o[i + 1]] for i in range(b.num_rows)]
-            sides.append((seq, [_runs(s, shingle) for s in seq]))
-        like = np.array([likeness(x, y) for x, y in zip(sides[0][1], sides[1][1], strict=True)])
+        like, x, y = set_pairs(b, "we", "wt", shingle)
         keep = np.flatnonzero(like >= threshold - 1e-12)
         if not len(keep):
             return None
-        far = banded_distance([sides[0][0][i] for i in keep], [sides[1][0][i] for i in keep], band)
+        if band is None:
+            far = np.full(len(keep), -1)
+        else:
+            full = Batch([x[i] for i in keep] + [y[i] for i in keep])
+            codes = [full.code[a : a + n] for a, n in zip(full.start, full.n, strict=True)]
+            far = banded_distance(codes[: len(keep)], codes[len(keep) :], band)
         at = pa.array(keep)
         return pa.RecordBatch.from_arrays([b.column("e").take(at), b.column("t").take(at), pa.array(like[keep]), pa.array(far.astype(np.int32), mask=far < 0)], ["e", "t", "likeness", "edit_distance"])
 
-    both = pairs.join(codes.select(F.col("node").alias("e"), F.col("codes").alias("ce")), "e").join(codes.select(F.col("node").alias("t"), F.col("codes").alias("ct")), "t")
-    return both.select("e", "t", "ce", "ct").mapInArrow(per_batch(f, 500), "e long, t long, likeness double, edit_distance int").dropDuplicates(["e", "t"])
-
-
-def _runs(seq: np.ndarray, k: int) -> np.ndarray:
-    b = Batch.__new__(Batch)
-    b.code = seq
-    return np.unique(b.windows(k)) if len(seq) >= k else np.array([], np.uint64)
+    both = pairs.join(texts.select(F.col("node").alias("e"), F.col("words").alias("we")), "e").join(texts.select(F.col("node").alias("t"), F.col("words").alias("wt")), "t")
+    return both.select("e", "t", "we", "wt").mapInArrow(per_batch(f, 500), "e long, t long, likeness double, edit_distance int").dropDuplicates(["e", "t"])
 
 
-def cross_split_pairs(rows: DataFrame, id: Column, text: Column, splits: DataFrame, *, train: str = "train", threshold: float = 0.6, shingle: int = 3, least_words: int = 30, band: int = 16, block: int = 1 << 18) -> DataFrame:
+def cross_split_pairs(rows: DataFrame, id: Column, text: Column, splits: DataFrame, *, train: str = "train", threshold: float = 0.6, shingle: int = 3, least_words: int = 30, band: int | None = None, block: int = 1 << 18) -> DataFrame:
     """Pairs (train_id, eval_id, split, likeness, edit_distance) of a train and an evaluation record alike.
 
     ``splits`` has (id, split), split already one of the labels; an id with
     several labels counts with each, ids without rows count for nothing, as do
     null ids, labels and texts, and texts under ``least_words`` words. All such
     pairs are found. Rows with the same words are compared once and joined again
-    at the end.
+    at the end. ``edit_distance`` is null without a ``band``, and beyond it.
     """
     spark = rows.sparkSession
-    src = rows.select(id.cast("string").alias("id"), text.cast("string").alias("text"), F.xxhash64(id.cast("string")).alias("hash")).where("id is not null and text is not null")
+    src = rows.select(id.cast("string").alias("id"), F.lit(None).cast("string").alias("lead"), text.cast("string").alias("text")).where("id is not null and text is not null")
     label = splits.where("id is not null and split is not null").select("id", "split").distinct()
-    sides = label.groupBy("id").agg(F.bit_or(F.when(F.col("split") == train, 1).otherwise(2)).alias("side"))
-    plain = src.select("id", F.lit(None).cast("string").alias("lead"), "text").join(sides.select("id"), "id", "left_semi")
-    made = stored(features(plain, shingle, least_words, threshold, frequencies(plain, shingle)))
+    made = stored(features(src, shingle, least_words, threshold, classes(src, shingle)))
     of = made.select("id", "node").distinct()
+    sides = label.groupBy("id").agg(F.bit_or(F.when(F.col("split") == train, 1).otherwise(2)).alias("side"))
     side = checkpoint(of.join(sides, "id").groupBy("node").agg(F.bit_or("side").alias("side")))
-    nodes = made.dropDuplicates(["node"]).join(side, "node").select("node", "n", "side", *SIG, "prefix")
+    nodes = made.dropDuplicates(["node"]).join(side, "node").select("node", "n", "side", *SIG, "keys", "at")
     both = F.explode(F.array(F.struct(F.col("a").alias("e"), F.col("b").alias("t")), F.struct(F.col("b").alias("e"), F.col("a").alias("t")))).alias("p")
     pairs = candidates(nodes, threshold, block).select(both).select("p.*")
     pairs = pairs.join(side.where("side in (2, 3)").select(F.col("node").alias("e")), "e", "left_semi").join(side.where("side in (1, 3)").select(F.col("node").alias("t")), "t", "left_semi").select("e", "t")
     pairs = checkpoint(pairs.union(side.where("side = 3").select(F.col("node").alias("e"), F.col("node").alias("t"))))
     ends = pairs.select(F.explode(F.array("e", "t")).alias("node")).distinct()
     reps = of.groupBy("node").agg(F.min("id").alias("id")).join(ends, "node").select(F.xxhash64("id").alias("h"))
-    good = verified(pairs, word_codes(src, bitmap(spark, reps)), shingle, threshold, band)
+    texts = word_lists(src.withColumn("hash", F.xxhash64("id")), bitmap(spark, reps))
+    good = verified(pairs, texts, shingle, threshold, band)
     te = of.join(label.where(F.col("split") == train).select("id"), "id").select(F.col("node").alias("t"), F.col("id").alias("train_id"))
     es = of.join(label.where(F.col("split") != train), "id").select(F.col("node").alias("e"), F.col("id").alias("eval_id"), "split")
     return good.join(te, "t").join(es, "e").where("train_id <> eval_id").select("train_id", "eval_id", "split", "likeness", "edit_distance")
@@ -125,6 +107,6 @@ def split_labels(splits: DataFrame, id: str = "example_id", split: str = "split"
 
 
 def report(pairs: DataFrame, rows: DataFrame, id: Column, source: Column) -> DataFrame:
-    """(split, source, eval_records, train_records, pairs) per evaluation split and source; a missing source is null."""
+    """(split, source, eval_records, train_records, pairs, same, few_edits) per evaluation split and source; a missing source is null. same: pairs with the same words; few_edits: others within the band of edits in words."""
     src = rows.select(id.cast("string").alias("eval_id"), source.alias("source")).dropDuplicates(["eval_id"])
-    return pairs.join(src, "eval_id", "left").groupBy("split", "source").agg(F.countDistinct("eval_id").alias("eval_records"), F.countDistinct("train_id").alias("train_records"), F.count("*").alias("pairs"))
+    return pairs.join(src, "eval_id", "left").groupBy("split", "source").agg(F.countDistinct("eval_id").alias("eval_records"), F.countDistinct("train_id").alias("train_records"), F.count("*").alias("pairs"), F.count_if(F.col("edit_distance") == 0).alias("same"), F.count_if(F.col("edit_distance") > 0).alias("few_edits"))

@@ -22,8 +22,8 @@ def _sft(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 # 1: records across splits
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.cross_split_pairs(_sft(spark, d, "reading_vi"), F.col("example_id"), F.col("reading_vi"), overlap.split_labels(_t(spark, d, "splits")))
+def _overlaps(spark: SparkSession, d: str, band: int | None = None) -> DataFrame:
+    return overlap.cross_split_pairs(_sft(spark, d, "reading_vi"), F.col("example_id"), F.col("reading_vi"), overlap.split_labels(_t(spark, d, "splits")), band=band)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.report(_overlaps(spark, d), _sft(spark, d, "provenance"), F.col("example_id"), F.col("provenance")[0])
+    return overlap.report(_overlaps(spark, d, 16), _sft(spark, d, "provenance"), F.col("example_id"), F.col("provenance")[0])
 
 
 # 3: near-duplicate records

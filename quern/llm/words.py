@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.forms import consistent
+from quern.plans.lineage import checkpoint
 
 WORD = re.compile(r"[^\W_]+")
 #: Bits of a signature. Pairs of long texts with little in common still differ in too few of 256 bits to be told apart.
@@ -92,12 +93,6 @@ def signatures(doc: np.ndarray, h: np.ndarray, n: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(packed[:, i]) for i in range(BITS // 64)]
 
 
-def lists(doc: np.ndarray, h: np.ndarray, n: int) -> pa.ListArray:
-    offsets = np.zeros(n + 1, np.int32)
-    np.cumsum(np.bincount(doc, minlength=n), out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)))
-
-
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Smaller batches: bounds the memory of the vectorised steps."""
     for b in batches:
@@ -114,14 +109,18 @@ def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int =
     return run
 
 
-def bitmap(spark: SparkSession, keys: DataFrame, log2_words: int = 19):
+def bitmap(spark: SparkSession, keys: DataFrame, log2_words: int | None = None):
     """Broadcast filter over the 64-bit values of the only column of ``keys``.
 
-    Its size is fixed: 2^log2_words words of 64 bits (4 MB), whatever the number
-    of keys; the driver gets at most one row per word. It has no false negatives,
-    and every use is followed by an exact join.
+    2^log2_words words of 64 bits; without that, as many as give a key 16 bits,
+    from 2^12 to 2^21 (16 MB): beyond 8 million keys it gets denser and lets more
+    pass. The driver gets at most one row per word. It has no false negatives,
+    and every use is followed by an exact step.
     """
     (c,) = keys.columns
+    if log2_words is None:
+        keys = checkpoint(keys)
+        log2_words = min(max((keys.count() // 4).bit_length(), 12), 21)
     word = F.col(c).bitwiseAND((1 << log2_words) - 1).alias("w")
     bit = F.expr(f"shiftleft(1L, cast(shiftright(`{c}`, {log2_words}) & 63 as int))").alias("b")
     t = keys.select(word, bit).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()

@@ -162,10 +162,10 @@ def test_banded_distance():
 
 
 def test_report(spark):
-    pairs = spark.createDataFrame([("t1", "e1", "val", 0.7, 3), ("t2", "e1", "val", 0.8, 2)], "train_id string, eval_id string, split string, likeness double, edit_distance int")
+    pairs = spark.createDataFrame([("t1", "e1", "val", 0.7, 0), ("t2", "e1", "val", 0.8, 2)], "train_id string, eval_id string, split string, likeness double, edit_distance int")
     rows = spark.createDataFrame([("e1", ["web", "x"]), ("e1", ["web", "x"])], "rid string, provenance array<string>")
     got = overlap.report(pairs, rows, F.col("rid"), F.col("provenance")[0]).collect()
-    assert [tuple(r) for r in got] == [("val", "web", 1, 2, 2)]
+    assert [tuple(r) for r in got] == [("val", "web", 1, 2, 2, 1, 1)]
 
 
 def test_components(spark):
