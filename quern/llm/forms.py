@@ -16,6 +16,8 @@ from collections.abc import Iterable, Iterator
 # Letters of other scripts that look like a Latin letter.
 CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅ", "aeopcyxijshdqwABEKMHOPCTYXIJS", strict=True))
 GREEK = dict(zip("αορνικυχγΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aopvikuxyABEZHIKMNOPTYX", strict=True))
+# Letters that look like another one of their script.
+SAME = {"Ð": "Đ", "Ɖ": "Đ"}
 LIKE = {"CYRILLIC": CYRILLIC, "GREEK": GREEK}
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
 TO = {("LATIN", s): m for s, m in LIKE.items()} | {(s, "LATIN"): {v: k for k, v in reversed(m.items())} for s, m in LIKE.items()}
@@ -40,7 +42,7 @@ def _narrow(ch: str) -> str:
 INVISIBLE = _invisible()
 BLANKS = {chr(c) for c in range(0x21, 0x3001) if unicodedata.category(chr(c)) == "Zs"}
 WIDTH = {chr(c): _narrow(chr(c)) for c in range(0xFF01, 0xFFEF) if _narrow(chr(c)) != chr(c)}
-_PLAIN = {**{c: " " for c in BLANKS}, **{c: n for c, n in WIDTH.items() if c not in INVISIBLE}}
+_PLAIN = {**SAME, **{c: " " for c in BLANKS}, **{c: n for c, n in WIDTH.items() if c not in INVISIBLE}}
 
 
 def _cls(chars: Iterable[str]) -> str:
@@ -55,7 +57,7 @@ def _cls(chars: Iterable[str]) -> str:
 
 _MARKS = "̀-ͯ"
 _OTHER = "Ͱ-ϿЀ-ԯἀ-῿"
-SUSPECT = re.compile(f"[{_MARKS}{_OTHER}{_cls(INVISIBLE)}{_cls(BLANKS)}{_cls(WIDTH)}]")
+SUSPECT = re.compile(f"[{_MARKS}{_OTHER}{_cls(INVISIBLE)}{_cls(BLANKS)}{_cls(WIDTH)}{_cls(SAME)}]")
 _TO_PLAIN = re.compile(f"[{_cls(_PLAIN)}]")
 _HIDDEN = re.compile(f"[{_cls(INVISIBLE)}]+")
 _WORD = re.compile(f"[^\\W\\d_][^\\W\\d_{_MARKS}]*(?:[{_MARKS}]+[^\\W\\d_]*)*")
@@ -181,7 +183,7 @@ class LookalikeModel:
 
     @staticmethod
     def _formed(s: str) -> bool:
-        return unicodedata.is_normalized("NFC", s) and not any(c in WIDTH or c in INVISIBLE or c in BLANKS for c in s)
+        return unicodedata.is_normalized("NFC", s) and not any(c in WIDTH or c in INVISIBLE or c in BLANKS or c in SAME for c in s)
 
     @staticmethod
     def _script(s: str) -> str:

@@ -10,7 +10,7 @@ from quern.llm.forms import LookalikeModel, consistent, reads_as, symbols
 
 CASES = {
     "ấ": "ấ", "ậ": "ậ", "ｃủａ　ｔôi": "của tôi", "x​y­z﻿": "xyz", "a b c": "a b c", "đаng": "đang", "сó": "có",
-    "Ταρώ Таро 塔羅": "Ταρώ Таро 塔羅", "❤️‍🔥 👩‍🚀": "❤️‍🔥 👩‍🚀", "1️⃣": "1️⃣", "a‍b": "ab", "x️": "x", "hòa  hoà\r\n": "hòa  hoà\r\n", "Tаро": "Таро", "": "", "o‍́": "ó",
+    "Ταρώ Таро 塔羅": "Ταρώ Таро 塔羅", "❤️‍🔥 👩‍🚀": "❤️‍🔥 👩‍🚀", "1️⃣": "1️⃣", "a‍b": "ab", "x️": "x", "hòa  hoà\r\n": "hòa  hoà\r\n", "Tаро": "Таро", "": "", "o‍́": "ó", "Ðến ÐƯỜNG Ɖi": "Đến ĐƯỜNG Đi",
 }
 
 
@@ -30,7 +30,7 @@ def test_script_of_a_mixed_word():
 
 def test_model_agrees_with_the_definition():
     rng = random.Random(5)
-    alphabet = "aáộ ơđOoeE.,\n" + "̣́̂" + "аеорсίαοΟ" + "​‍­️" + " 　" + "ａｏ！" + "🔥👩❤1"
+    alphabet = "aáộ ơđĐÐOoeE.,\n" + "̣́̂" + "аеорсίαοΟ" + "​‍­️" + " 　" + "ａｏ！" + "🔥👩❤1"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)]
     counts = Counter()
     for t in texts:
@@ -44,6 +44,11 @@ def test_model_agrees_with_the_definition():
 def test_model_decides_alone(spark):
     # a mixed word in a corpus without any other look-alike symbol; piles of more than three marks
     assert LookalikeModel({"T": 1, "а": 2, "р": 1, "о": 1}).rewrite("Tаро") == consistent("Tаро") != "Tаро"
+    assert LookalikeModel(Counter("Ðến")).rewrite("Ðến") == "Đến"  # the class holds the letter of the language, seen or not
+    model = LookalikeModel(Counter("Ðến đаng"))
+    model.by_script, model.fixed = {}, {}
+    model.auto.clear()
+    assert model.rewrite("Ðến") == "Ðến"  # nothing but the classes rewrites a letter of one script
     rng = random.Random(6)
     marks = "\u0301\u0302\u0303\u0323\u0306\u031b"
     texts = ["".join(rng.choice("aeoư ДаеоσΟ\u200bｏ") + "".join(rng.choices(marks, k=rng.choice([0, 0, 1, 2, 4, 6]))) for _ in range(rng.randrange(1, 12))) for _ in range(1000)]
