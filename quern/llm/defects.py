@@ -36,7 +36,8 @@ VI = set("la khong ban mot cua cho trong nguoi long minh nay khi dieu voi nhung
 _MARKED = re.compile("[àáảãạăằắẳẵặâầấẩẫậđèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵ]")
 _ONLY_VI = re.compile("[ảãạăằắẳẵặầấẩẫậđẻẽẹềếểễệỉĩịỏõọồốổỗộơờớởỡợủũụưừứửữựỳỷỹỵ]")
 _SYLLABLE = re.compile(r"(?:ngh?|[cgkpt]h|gi|qu|tr|[bcdghklmnpqrstvxđ])?(?:i?eu|u?oi|u?ye?|i?a[ouy]?|oa[iyo]?|oe|ua?y?|ie|e[ou]?|i[u]?|o[ai]?|uo|u[aiy]?|y)(?:ch|ng|nh|[cmnpt])?\Z")
-_CLOSED = re.compile("[.!?…。！？\"”’»)\\]]\\Z")
+_CLOSED = re.compile("[.!?。！？\"”’»)\\]]\\Z")
+_TRAILS = re.compile(r"(?:…|\.\s?\.\s?\.)\Z")
 _PICTO = re.compile("[☀-➿\U0001f000-\U0001faff]\\Z")
 _TRAIL = re.compile("[\\s‍️​]+\\Z")
 _SENTENCE = re.compile(r"[^.!?…;\n]+")
@@ -65,7 +66,7 @@ def _closed(text: str) -> bool:
     t = _TRAIL.sub("", text)
     if _PICTO.search(t):
         return True
-    return bool(_CLOSED.search(t))
+    return bool(_CLOSED.search(t)) and not _TRAILS.search(t)
 
 
 def _unclosed(text: str) -> bool:
@@ -79,7 +80,7 @@ def _similar(a: list[str], b: list[str]) -> float:
 
 
 def votes(question: str | None, answer: str | None, task: str | None) -> int:
-    """Bit set of the labelling functions of ``FUNCTIONS`` that fire. Null and blank questions fire nothing; the task type isn't used."""
+    """Bit set of the labelling functions of ``FUNCTIONS`` that fire. Null and blank questions fire nothing; a null task type may ask for a reading."""
     text = consistent(answer or "")
     low = text.lower()
     w = WORD.findall(low)
@@ -105,6 +106,7 @@ def votes(question: str | None, answer: str | None, task: str | None) -> int:
         vote("declines", mostly and bool(_REFUSES.search(low)))
         vote("declines_early", mostly and bool(_REFUSES.search(" ".join(said[:1]))))
         vote("not_of_question", _similar(q, w) < 0.6)
+    vote("reading_asked", "safety" not in consistent(task or "").lower())  # there a notice of limits is part of the answer
     vote("brief", 4 < n < SHORT)
     if n >= 5:
         k = [_known[x] for x in w]
@@ -126,7 +128,7 @@ def votes(question: str | None, answer: str | None, task: str | None) -> int:
 FUNCTIONS = {
     "empty": {"no_words": (0.6, 1e-5), "placeholder": (0.95, 1e-5), "tiny": (0.98, 1e-3)},
     "copy": {"words_of_question": (0.97, 1e-3), "covers_question": (0.97, 1e-3), "as_long_as_question": (0.97, 0.01)},
-    "refusal": {"declines": (0.97, 1e-3), "declines_early": (0.9, 1e-3), "not_of_question": (0.95, 0.02), "brief": (0.97, 0.01)},
+    "refusal": {"declines": (0.97, 1e-3), "declines_early": (0.9, 1e-3), "not_of_question": (0.95, 0.02), "brief": (0.97, 0.01), "reading_asked": (0.98, 0.9)},
     "language": {"unmarked": (0.97, 0.03), "foreign_words": (0.97, 1e-3), "few_vietnamese": (0.95, 1e-2), "not_syllables": (0.9, 1e-2)},
     "truncated": {"open_end": (0.98, 2e-3), "long_open": (0.95, 1e-3), "unclosed": (0.3, 1e-3)},
 }
@@ -169,7 +171,7 @@ def label_pairs(rows: DataFrame, id: Column, question: Column, answer: Column, t
 
     A null answer is an empty one; a record delivered again counts once (null
     ids give no row); an empty table gives no rows. The whole table is voted on
-    once; only counts of vote patterns, at most 2^17, reach the driver.
+    once; only counts of vote patterns, at most 2^18, reach the driver.
     """
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:

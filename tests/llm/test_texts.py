@@ -46,6 +46,7 @@ LABELLED = [
     ("The open hand unsettles a harvest still far away before the moon is full and that is enough for you. " * 5, "language"), ("Cảm ơn bạn đã hỏi. " + "La semilla sembrada acompaña una respiración más firme, así que ve paso a paso con el corazón. " * 5, "language"),
     ("Der gesäte Keim spiegelt ein locker gewordenes Band und nichts drängt dich in dieser Legung. " * 5, "language"), ("La lampe près de la porte protège le désir d'être vu, et cela suffit pour vous dans cette lame. " * 5, "language"),
     (GOOD + "Bên dưới lớp lo âu, cái tôi bướng bỉnh", "truncated"), (GOOD + "Dòng suy nghĩ xoay quanh (nhất là", "truncated"),
+    (GOOD + "Vì lá Page...", "truncated"), (GOOD + "Xét về những…", "truncated"), (GOOD + "Vì lá Page . . .", "truncated"),
     (GOOD, None), ("Mình không thể đoán chắc tương lai, nhưng lá bài gợi mở như sau. " + GOOD, None), (Q + " " + GOOD, None), (GOOD + "Cứ thong thả thôi nha ✨", None), (GOOD + "Bạn nhớ câu “carpe diem” nhé.", None),
     ("La Five of Wands xuoi do lay nhip buoc cua ban. Anh sang nho kia goi y rang long can dam vua du de khoi lap lai chuyen cu. Nguoi trong ban bao ve long can dam vua du nen hay de tam tung buoc. " * 2, None),
 ]
