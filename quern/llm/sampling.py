@@ -85,6 +85,8 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, float]], source: int,
             d, v = heapq.heappop(heap)
             if d > far[v] + 1e-12:
                 continue
+            if v == sink:  # nodes beyond aren't nearer
+                break
             for e in adj[v]:
                 if cap[e] > 0 and (x := d + cost[e] + pot[v] - pot[to[e]]) < far[to[e]] - 1e-9:
                     far[to[e]], via[to[e]] = x, e
@@ -92,8 +94,7 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, float]], source: int,
         if far[sink] == math.inf:
             break
         for v in range(n):
-            if far[v] < math.inf:
-                pot[v] += far[v]
+            pot[v] += min(far[v], far[sink])
         push, v = amount, sink
         while v != source:
             push, v = min(push, cap[via[v]]), to[via[v] ^ 1]
@@ -106,16 +107,19 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, float]], source: int,
     return [cap[2 * i + 1] for i in range(len(arcs))]
 
 
-def shortfalls(have: dict[tuple[str, str], int], targets: list[Target], size: int) -> dict[tuple[str, str], int]:
-    """What the slack arcs carry: each category's need flows through an arc as wide as its records, the rest through slack."""
+def shortfalls(counts: dict[tuple, int], dims: list[str], targets: list[Target], size: int) -> dict[tuple[str, str], int]:
+    """What the slack arcs carry: each category's need flows through its cells, each as wide as its records, and the rest through slack. Per dimension alone: what the records can't meet whatever else is wanted."""
+    keys = sorted((k for k, n in counts.items() if n > 0), key=str)
     out = {}
     for d in sorted({t.dimension for t in targets}):
         own = [t for t in targets if t.dimension == d]
-        arcs = []
-        for i, t in enumerate(own):
-            arcs += [(0, 2 + i, needed(t, size), 0.0), (2 + i, 1, have.get((d, form(t.category)), 0), 0.0), (2 + i, 1, needed(t, size), 1.0)]
-        flow = min_cost_flow(2 + len(own), arcs, 0, 1, sum(needed(t, size) for t in own))
-        out |= {(d, t.category): flow[3 * i + 2] for i, t in enumerate(own) if flow[3 * i + 2]}
+        at = {form(t.category): 2 + i for i, t in enumerate(own)}
+        arcs = [x for i, t in enumerate(own) for x in ((0, 2 + i, needed(t, size), 0.0), (2 + i, 1, needed(t, size), 1.0))]
+        for j, k in enumerate(keys if d in dims else ()):
+            if (c := at.get(k[dims.index(d)])) is not None:
+                arcs += [(c, 2 + len(own) + j, counts[k], 0.0), (2 + len(own) + j, 1, counts[k], 0.0)]
+        flow = min_cost_flow(2 + len(own) + len(keys), arcs, 0, 1, sum(needed(t, size) for t in own))
+        out |= {(d, t.category): flow[2 * i + 1] for i, t in enumerate(own) if flow[2 * i + 1]}
     return out
 
 
