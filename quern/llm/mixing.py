@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.operators import ordering
+
 
 @dataclass(frozen=True)
 class Target:
@@ -28,11 +30,6 @@ def source_sizes(sized: DataFrame, targets: list[Target]) -> dict[str, tuple[int
     return {t.source: got.get(t.source, (0, 0)) for t in targets}
 
 
-def short_sources(sizes: dict[str, tuple[int, int]], targets: list[Target], budget: int) -> list[str]:
-    """Sources that can't fill their share even if each document is taken as often as allowed."""
-    return [t.source for t in targets if sizes[t.source][0] * t.max_repeats < t.weight * budget - 1e-6]
-
-
 def cut_time(sizes: dict[str, tuple[int, int]], targets: list[Target], budget: int) -> float:
     """The virtual time until which all sources together have sent the budget; a source stops when its repeats are used up."""
     ends = sorted((sizes[t.source][0] * t.max_repeats / t.weight, t.weight) for t in targets)
@@ -44,22 +41,21 @@ def cut_time(sizes: dict[str, tuple[int, int]], targets: list[Target], budget: i
     return at
 
 
-def mix(docs: DataFrame, targets: list[Target], budget: int, *, seed: int = 0, buckets: int = 4096) -> DataFrame:
-    """(doc_id, copy, source, tokens, finish): the documents in the mix, each up to its source's repeats.
+def queue(docs: DataFrame, targets: list[Target], *, seed: int = 0, buckets: int = 4096) -> DataFrame:
+    """(doc_id, copy, source, tokens, finish): every copy that may be sent, with its virtual finish time.
 
     ``docs`` has (doc_id, source, tokens). Each source's documents are shuffled
     by a hash; a copy finishes at (tokens of its source up to and with it) /
-    weight, second copies after all first ones. All copies, by finish time, are
-    taken while their sum stays within the budget. The running sum is made in
-    hash buckets, whose sums alone reach the driver (sources x buckets), so a
-    source with a third of all rows is many small windows. Documents without
-    tokens, or of sources without a target, are left out.
+    weight, second copies after all first ones. The running sum is made in hash
+    buckets, whose sums alone reach the driver (sources x buckets), so a source
+    with a third of all rows is many small windows. Documents without tokens, or
+    of sources without a target, are left out.
     """
     w = {t.source: t for t in targets}
     lit = lambda f, kind: F.create_map(*(x for s, t in w.items() for x in (F.lit(s), F.lit(f(t)).cast(kind))))[F.col("source")]
     spark = docs.sparkSession
-    empty = spark.createDataFrame([], "doc_id long, copy int, source string, tokens long, finish double")
-    if not w or budget <= 0:
+    empty = spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, copy int, source string, tokens long, finish double")
+    if not w:
         return empty
     d = docs.where(F.col("source").isin(list(w)) & (F.col("tokens") > 0)).withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod(F.shiftright("h", 40), F.lit(buckets)).cast("int"))
     sums = d.groupBy("source", "bucket").agg(F.sum("tokens").alias("t")).collect()
@@ -70,28 +66,37 @@ def mix(docs: DataFrame, targets: list[Target], budget: int, *, seed: int = 0, b
         total[r["source"]] += r["t"]
     if not offsets:
         return empty
-    sizes = {s: (t, 0) for s, t in total.items()}
     base = F.broadcast(spark.createDataFrame(offsets, "source string, bucket int, base long"))  # sources x buckets rows at most
     inner = F.sum("tokens").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     size = F.create_map(*(x for s, t in total.items() for x in (F.lit(s), F.lit(t).cast("long"))))[F.col("source")]
     placed = d.withColumn("inner", inner).join(base, ["source", "bucket"]).withColumn("copy", F.explode(F.sequence(F.lit(1), lit(lambda t: t.max_repeats, "int"))))
-    placed = placed.withColumn("sent", (F.col("copy") - 1) * size + F.col("base") + F.col("inner")).withColumn("finish", F.col("sent") / lit(lambda t: t.weight, "double")).select("doc_id", "copy", "source", "tokens", "sent", "finish")
-    at = cut_time(sizes, targets, budget)
-    sure = placed.where(F.col("finish") <= at + 1e-9)
-    used = sure.agg(F.sum("tokens")).first()[0] or 0
-    # each source has one copy across the cut; in order of finish they are taken while they fit
-    across = sorted(placed.where(F.col("finish") > at + 1e-9).groupBy("source").agg(F.min(F.struct("finish", "doc_id", "copy", "tokens")).alias("x")).select("source", "x.*").collect(), key=lambda r: (r["finish"], r["source"]))
-    last = []
-    for r in across:
-        if used + r["tokens"] > budget:
-            break
-        used += r["tokens"]
-        last.append((r["doc_id"], r["copy"], r["source"]))
-    out = sure
-    if last:
-        more = F.broadcast(spark.createDataFrame(last, f"doc_id {placed.schema['doc_id'].dataType.simpleString()}, copy int, source string"))  # one row per source at most
-        out = sure.unionByName(placed.join(more, ["doc_id", "copy", "source"]).select(*sure.columns))
-    return out.select("doc_id", F.col("copy").cast("int").alias("copy"), "source", "tokens", "finish")
+    sent = (F.col("copy") - 1) * size + F.col("base") + F.col("inner")
+    return placed.select("doc_id", F.col("copy").cast("int").alias("copy"), "source", "tokens", (sent / lit(lambda t: t.weight, "double")).alias("finish"))
+
+
+def short_sources(queued: DataFrame, targets: list[Target], budget: int) -> list[str]:
+    """Sources whose last copy finishes before the virtual time at which each source should have sent its share of the budget. Those without a copy finish at 0."""
+    last = {r["source"]: r["f"] for r in queued.groupBy("source").agg(F.max("finish").alias("f")).collect()}  # a row per source of the mix
+    return [t.source for t in targets if last.get(t.source, 0.0) < budget - 1e-6 / t.weight]
+
+
+def mix(docs: DataFrame, targets: list[Target], budget: int, *, seed: int = 0, buckets: int = 4096) -> DataFrame:
+    """(doc_id, copy, source, tokens, finish): the documents in the mix, each up to its source's repeats.
+
+    All copies of the queue are put in global order of finish time by range
+    partitions, and the order is cut where the running sum passes the budget.
+    Copies that finish after all sources together have surely sent the budget
+    aren't sorted.
+    """
+    queued = queue(docs, targets, seed=seed, buckets=buckets)
+    facts = {r["source"]: r for r in queued.groupBy("source").agg(F.sum(F.when(F.col("copy") == 1, F.col("tokens"))).alias("t"), F.max("tokens").alias("most")).collect()}
+    if budget <= 0 or not facts:
+        return queued.limit(0)
+    own = [t for t in targets if t.source in facts]
+    until = cut_time({t.source: (facts[t.source]["t"], 0) for t in own}, own, budget) + max(facts[t.source]["most"] / t.weight for t in own)
+    order = [F.col(c) for c in ("finish", "source", "doc_id", "copy")]
+    sent = ordering.ranked(queued.where(F.col("finish") <= until + 1e-6), order, running="tokens")
+    return sent.where(F.col("running") <= budget).select("doc_id", "copy", "source", "tokens", "finish")
 
 
 def ordered(mixed: DataFrame) -> DataFrame:
@@ -99,10 +104,9 @@ def ordered(mixed: DataFrame) -> DataFrame:
     return mixed.repartitionByRange("finish", "source", "doc_id", "copy").sortWithinPartitions("finish", "source", "doc_id", "copy")
 
 
-def report(mixed: DataFrame, targets: list[Target], sizes: dict[str, tuple[int, int]], budget: int) -> DataFrame:
+def report(mixed: DataFrame, targets: list[Target], sizes: dict[str, tuple[int, int]], short: list[str]) -> DataFrame:
     """(source, target_weight, actual_share, tokens, copies, most_repeats, available, short) per target source."""
     spark = mixed.sparkSession
-    short = set(short_sources(sizes, targets, budget))
     t = spark.createDataFrame([(x.source, float(x.weight), int(sizes[x.source][0]), x.source in short) for x in targets], "source string, target_weight double, available long, short boolean")
     got = mixed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("copies"), F.max("copy").alias("most_repeats"))
     all_ = got.agg(F.sum("tokens").alias("all"))

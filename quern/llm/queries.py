@@ -103,7 +103,7 @@ def _plan(spark: SparkSession, d: str) -> sampling.Plan:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     p = _plan(spark, d)
-    short = sampling.shortfalls(p.have, p.targets, p.size)
+    short = sampling.shortfalls(p.counts, p.dims, p.targets, p.size)
     return spark.createDataFrame(sorted(short), "dimension string, category string")
 
 
@@ -123,9 +123,8 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     p, drawn = _sample(spark, d)
     cell = F.from_json("cell", ", ".join(f"{x} string" for x in p.dims))
     got = drawn.groupBy("cell").count().select(cell.alias("c"), "count").select(F.explode(F.array(*(F.struct(F.lit(x).alias("dimension"), F.col("c")[x].alias("form"), F.col("count").alias("n")) for x in p.dims))).alias("x")).select("x.*").groupBy("dimension", "form").agg(F.sum("n").alias("drawn"))
-    short = sampling.shortfalls(p.have, p.targets, p.size)
-    want = spark.createDataFrame([(t.dimension, t.category, sampling.form(t.category), t.share, sampling.needed(t, p.size), p.have.get((t.dimension, sampling.form(t.category)), 0), short.get((t.dimension, t.category), 0)) for t in p.targets], "dimension string, category string, form string, target_share double, needed long, available long, shortfall long")
-    return want.join(got, ["dimension", "form"], "left").select("dimension", "category", "target_share", "needed", "available", "shortfall", F.coalesce("drawn", F.lit(0)).alias("drawn"), (F.coalesce("drawn", F.lit(0)) / p.size).alias("actual_share"))
+    want = spark.createDataFrame([(t.dimension, t.category, sampling.form(t.category), t.share, sampling.needed(t, p.size), p.have.get((t.dimension, sampling.form(t.category)), 0)) for t in p.targets], "dimension string, category string, form string, target_share double, needed long, available long")
+    return want.join(got, ["dimension", "form"], "left").select("dimension", "category", "target_share", "needed", "available", F.greatest(F.col("needed") - F.coalesce("drawn", F.lit(0)), F.lit(0)).alias("shortfall"), F.coalesce("drawn", F.lit(0)).alias("drawn"), (F.coalesce("drawn", F.lit(0)) / p.size).alias("actual_share"))
 
 
 # 6: broken pairs
@@ -161,7 +160,7 @@ def _sized(spark: SparkSession, d: str) -> tuple[DataFrame, list, int]:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     sized, targets, budget = _sized(spark, d)
-    return spark.createDataFrame([(s,) for s in mixing.short_sources(mixing.source_sizes(sized, targets), targets, budget)], "source string")
+    return spark.createDataFrame([(s,) for s in mixing.short_sources(mixing.queue(sized, targets), targets, budget)], "source string")
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +169,7 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
     sized, targets, budget = _sized(spark, d)
-    return mixing.report(mixing.mix(sized, targets, budget), targets, mixing.source_sizes(sized, targets), budget)
+    return mixing.report(mixing.mix(sized, targets, budget), targets, mixing.source_sizes(sized, targets), mixing.short_sources(mixing.queue(sized, targets), targets, budget))
 
 
 # 9: languages

@@ -28,7 +28,7 @@ def test_shortfalls_and_spellings(spark):
     p = made(spark, [*rows, rows[0], (None, "safety", "dài", "x")])
     safe = sum(k == "safety" for _, k, _, _ in rows)
     assert p.have["kind", "safety"] == safe and p.have["band", "ngắn"] == sum(b != "dài" for _, _, b, _ in rows)
-    assert sampling.shortfalls(p.have, p.targets, p.size) == {("kind", "none"): 50} | ({("kind", "safety"): 550 - safe} if safe < 550 else {})
+    assert sampling.shortfalls(p.counts, p.dims, p.targets, p.size) == {("kind", "none"): 50} | ({("kind", "safety"): 550 - safe} if safe < 550 else {})
 
 
 def test_needed_rounds_up_once():
@@ -57,7 +57,7 @@ def test_draw_takes_exactly_the_quota(spark):
 def test_empty_sample(spark):
     p = made(spark, [])
     assert sampling.quotas(p.counts, p.dims, p.targets, p.size) == {}
-    assert set(sampling.shortfalls(p.have, p.targets, p.size)) == {(t[0], t[1]) for t in TARGETS}
+    assert set(sampling.shortfalls(p.counts, p.dims, p.targets, p.size)) == {(t[0], t[1]) for t in TARGETS}
     assert sampling.draw(p.labelled, {}).count() == 0
 
 
@@ -109,21 +109,22 @@ def test_mix_shares_and_repeats(spark):
         assert max(r["copy"] for r in got if r["source"] == t.source) <= t.max_repeats
     assert len({(r["doc_id"], r["copy"]) for r in got}) == len(got)
     # the same as the queue in the hash order that the operator used
-    order = {r["doc_id"]: r["finish"] for r in got if r["copy"] == 1}
+    order = {r["doc_id"]: r["finish"] for r in mixing.queue(d, targets, buckets=8).where("copy = 1").collect()}
     ranked = sorted(docs, key=lambda x: order.get(x[0], 1e18))
-    _, brute = brute_mix(ranked, targets, budget)
-    assert abs(brute - used) <= 400
+    taken, brute = brute_mix(ranked, targets, budget)
+    assert brute == used and {(i, c) for i, c, _ in taken} == {(r["doc_id"], r["copy"]) for r in got}
 
 
 def test_short_sources(spark):
     targets = [mixing.Target("a", 0.5, 2), mixing.Target("b", 0.5, 3), mixing.Target("none", 0.1, 3)]
     d = spark.createDataFrame([(1, "a", 100), (2, "b", 20), (3, "b", 0)], "doc_id long, source string, tokens long")
     sizes = mixing.source_sizes(d, targets)
-    assert mixing.short_sources(sizes, targets, 300) == ["b", "none"]
+    short = mixing.short_sources(mixing.queue(d, targets), targets, 300)
+    assert short == ["b", "none"]
     got = mixing.mix(d, targets, 10_000)
     assert got.count() == 2 + 3  # all that there is
     assert mixing.mix(d.limit(0), targets, 100).count() == 0 and mixing.mix(d, [], 100).count() == 0
-    rep = {r["source"]: r for r in mixing.report(got, targets, sizes, 300).collect()}
+    rep = {r["source"]: r for r in mixing.report(got, targets, sizes, short).collect()}
     assert rep["none"]["tokens"] == 0 and rep["none"]["short"] and rep["a"]["most_repeats"] == 2
 
 
