@@ -25,11 +25,11 @@ def canonical_json(df: DataFrame, columns: Sequence[str] | None = None) -> Colum
     return F.to_json(F.struct(*(_sorted(F.col(f"`{n}`"), df.schema[n].dataType).alias(n) for n in names)), {"ignoreNullFields": "false"})
 
 
-def digest(df: DataFrame, line: Column, order: Sequence[Column], sep: str = "\n") -> DataFrame:
+def digest(df: DataFrame, line: Column, order: Sequence[Column], sep: str = "\n", around: tuple[str, str] = ("", "")) -> DataFrame:
     """One row (digest): SHA-256 of the lines in order, joined. Defined over the whole text, so the lines go to one task: for artifacts of a size to be hashed as one file. ``tree_digest`` is for larger tables."""
     keys = [c.alias(f"k{i}") for i, c in enumerate(order)]
     lines = df.select(F.struct(*keys, line.alias("line")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return lines.select(F.sha2(F.array_join(F.transform("xs", lambda x: x["line"]), sep), 256).alias("digest"))
+    return lines.select(F.sha2(F.concat(F.lit(around[0]), F.array_join(F.transform("xs", lambda x: x["line"]), sep), F.lit(around[1])), 256).alias("digest"))
 
 
 def tree_digest(df: DataFrame, line: Column, leaves: int = 1024) -> DataFrame:
@@ -39,3 +39,8 @@ def tree_digest(df: DataFrame, line: Column, leaves: int = 1024) -> DataFrame:
     b = h.groupBy(F.pmod(F.xxhash64("h"), F.lit(leaves)).alias("b")).agg(F.count("*").alias("n"), *(F.sum(part(i)).alias(f"s{i}") for i in range(5)))
     leaf = F.concat_ws(":", "b", "n", *(f"s{i}" for i in range(5)))
     return b.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list(leaf)), "\n"), 256).alias("digest"))
+
+
+def document_digest(df: DataFrame, line: Column, order: Sequence[Column]) -> DataFrame:
+    """One row (digest): SHA-256 of all lines in order as one JSON array. For tables that are one document: the array is made in one task."""
+    return digest(df, line, order, sep=",", around=("[", "]"))

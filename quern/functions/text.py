@@ -215,3 +215,104 @@ def hashed_vector(text: Column, n: int = 4, dims: int = 4096) -> Column:
         return let(counts, normed)
 
     return let(grams, weights)
+
+
+def label_parts(label: Column, prefix: str = "lá bài", reversed_mark: str = "ngược") -> Column:
+    """struct(name, orientation) of a free label: single blanks, without the prefix; a mark at the end says that it is reversed."""
+    name = F.regexp_replace(collapse(label), rf"(?iu)^{_quote(prefix)}\s+", "")
+    return let(name, lambda n: F.when(n.isNotNull(), F.struct(F.trim(F.regexp_replace(n, rf"\s*{_quote(reversed_mark)}\s*$", "")).alias("name"), F.when(n.endswith(reversed_mark), "reversed").otherwise("upright").alias("orientation"))))
+
+
+def mentions(text: Column, names: Iterable[str], mark: str = r"reversed|rx|inverted|upside[- ]down", ahead: int = 22) -> Column:
+    """array<struct(name, reversed)>: names in the text, lower case, each with whether a mark stands within so many characters after it; each such pair once."""
+    body = "|".join(_quote(n.lower()) for n in sorted(set(names), key=lambda n: (-len(n), n)))
+    found = lambda low, i: F.regexp_extract_all(low, F.lit(rf"(?s)(?<![\p{{L}}\p{{N}}_])({body})(?![\p{{L}}\p{{N}}_])(?=(.{{0,{ahead}}}))"), F.lit(i))
+    marked = lambda after: after.rlike(rf"(?<![\p{{L}}\p{{N}}_])(?:{mark})(?![\p{{L}}\p{{N}}_])")
+    return let(F.lower(text), lambda low: F.array_distinct(F.zip_with(found(low, 1), found(low, 2), lambda n, a: F.struct(n.alias("name"), marked(a).alias("reversed")))))
+
+
+# Phrases of the same shape as a name.
+NO_NAMES = ("the past", "the present", "the future", "the querent", "the reader", "the outcome", "the situation", "the question", "the cards", "the reading", "the universe")
+
+
+def unknown_names(text: Column, known: Iterable[str], stop: Sequence[str] = NO_NAMES) -> Column:
+    """"The" with one or two capitalised words that is neither a known name nor a stop phrase, as written with single blanks."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])The\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?(?![\p{L}\p{N}_])"), F.lit(0)), lambda x: F.regexp_replace(x, r"\s+", " "))
+    out = sorted({*(k.lower() for k in known), *stop})
+    return F.filter(F.array_distinct(found), lambda x: ~F.lower(x).isin(out) if out else F.lit(True))
+
+
+def first_words(text: Column, n: int) -> Column:
+    return let(word_split(text), lambda w: F.array_join(F.slice(w, 1, n), " "))
+
+
+def short_gloss(full: Column, label: Column, most_words: int = 12, most_chars: int = 90) -> Column:
+    """The whole gloss if it is short, else the first words of its first clause; the label before it unless it holds it."""
+    whole = collapse(full)
+    fits = (F.size(word_split(whole)) <= most_words) & (F.length(whole) <= most_chars)
+    body = F.when(fits, whole).otherwise(first_words(F.trim(F.element_at(F.split(whole, "[.;]"), 1)), most_words))
+    return let(body, lambda b: F.when(F.contains(F.lower(b), F.lower(label)), b).otherwise(F.concat(label, F.lit(": "), b)))
+
+
+def short_label(text: Column, most_words: int = 4, most_chars: int = 40, words: int = 3) -> Column:
+    """The text itself if it is a label already, else its first words of letters and digits, or its first 20 characters."""
+    own = F.array_join(F.slice(ascii_tokens(text), 1, words), " ")
+    return let(F.trim(text), lambda t: F.when((F.size(word_split(t)) <= most_words) & (F.length(t) <= most_chars), t).otherwise(F.coalesce(F.nullif(own, F.lit("")), F.substring(t, 1, 20))))
+
+
+def with_cue(modern: Column, historical: Column, source: str, most: int = 160) -> Column:
+    """The modern meaning, and in brackets the historical one, shortened, unless the modern one holds it."""
+    m, h = F.trim(modern), F.trim(historical)
+    cue = F.when(F.length(h) < most, h).otherwise(F.concat(F.substring(h, 1, most - 3), F.lit("...")))
+    return F.when(h.isNull() | (h == "") | F.contains(F.lower(m), F.lower(h)), m).otherwise(F.concat(F.regexp_replace(m, r"\.+$", ""), F.lit(f" ({source}: "), cue, F.lit(")")))
+
+
+# Words by which a post asks, and texts of removed posts.
+ASKING = r"\?|(?<![a-z0-9_])(?:asked|question|wondering|guidance|advice|does he|will i|should i|what does|help me|pulled|drew|spread|about my|my ex|clarify)(?![a-z0-9_])"
+REMOVED = ("[removed]", "[deleted]")
+
+
+def is_question(text: Column) -> Column:
+    return F.lower(text).rlike(ASKING)
+
+
+def is_removed(text: Column) -> Column:
+    return F.trim(text).isin(*REMOVED)
+
+
+PAGE = r"---\s*Page\s+\d+\s*---"
+
+
+def page_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(PAGE))
+
+
+def without_pages(text: Column) -> Column:
+    return collapse(F.regexp_replace(text, PAGE, " "))
+
+
+def leaks(text: Column, scaffolds: Sequence[str]) -> Column:
+    """Scaffold phrases that stand in the text, whatever the case."""
+    return let(F.lower(text), lambda low: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(s.lower())), F.lit(s)) for s in scaffolds))))
+
+
+def first_repeated(text: Column, names: Sequence[str], but: Column, least: int = 2) -> Column:
+    """First of the names, in their order, that isn't among ``but`` (lower case) and occurs so often in the text; null if none."""
+    often = lambda low, n: (F.length(low) - F.length(F.replace(low, F.lit(n.lower()), F.lit("")))) / len(n) >= least
+    return let(F.struct(F.lower(text).alias("low"), but.alias("b")), lambda x: F.coalesce(*(F.when(F.contains(x["low"], F.lit(n.lower())) & ~F.array_contains(x["b"], n.lower()) & often(x["low"], n), F.lit(n)) for n in names)))
+
+
+def block(title: str, items: Column, bullet: str = "- ") -> Column:
+    """A titled list, a line per item; without items the title alone."""
+    return F.concat_ws("\n", F.lit(title), F.transform(items, lambda x: F.concat(F.lit(bullet), x)))
+
+
+def is_language(lang: Column, category: Column, want: str, category_mark: str) -> Column:
+    """The language where it is given; else the category names it: holds the mark, ends with _want or is it."""
+    g, c = F.lower(F.trim(F.coalesce(lang, F.lit("")))), F.lower(F.trim(F.coalesce(category, F.lit(""))))
+    return (g == want) | ((g == "") & (F.contains(c, F.lit(category_mark)) | c.endswith(f"_{want}") | (c == want)))
+
+
+def mapped(value: Column, table: dict, default: Column) -> Column:
+    """Value of the table by the lower-cased key, else the default."""
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[F.lower(value)], default)

@@ -128,3 +128,12 @@ def profile_distance(tokens: Column, frequencies: dict[str, float]) -> Column:
         return F.when(F.size(t) > 0, off / len(used))
 
     return let(tokens, distance)
+
+
+def tightening(grams: DataFrame, batch: str, batches: int, ratio: float = 0.55, gram: str = "gram") -> DataFrame:
+    """(batch, phrases, top): after each batch, from 0, how many phrases reach the ratio of the most frequent so far. Counts of a batch are made once and summed up over those before; each different phrase passes once per batch it is seen in."""
+    counts = grams.groupBy(gram, batch).agg(F.count("*").alias("n"))
+    later = F.sequence(F.col(batch), F.lit(batches - 1))
+    c = counts.withColumn("__b", F.explode(later)).groupBy("__b", gram).agg(F.sum("n").alias("n"))
+    top = c.groupBy("__b").agg(F.max("n").alias("top"))
+    return c.join(F.broadcast(top), "__b").where(F.col("n") / F.col("top") >= ratio).groupBy(F.col("__b").alias(batch)).agg(F.count("*").alias("phrases"), F.max("top").alias("top"))  # a row per batch

@@ -81,3 +81,42 @@ def compact_card(keywords: Column, meaning: Column, most_keywords: int = 5, most
     from quern.functions.text import truncate
 
     return F.struct(F.slice(keywords, 1, most_keywords).alias("keywords"), truncate(F.regexp_replace(meaning, r"\s*\((?:Waite|Mathers):.*?\)\s*$", ""), most_chars).alias("meaning"))
+
+
+def repaired(df: DataFrame, renames: dict[str, str], swaps: Sequence[tuple[str, str, Column]] = ()) -> DataFrame:
+    """Columns under their right names, and pairs of columns changed over where a condition holds. A misspelt column fills the right one where that is missing or blank."""
+    for wrong, right in renames.items():
+        if wrong in df.columns:
+            own = [F.nullif(F.trim(right), F.lit(""))] if right in df.columns else []
+            df = df.withColumn(right, F.coalesce(*own, F.col(wrong))).drop(wrong)
+    for a, b, when in swaps:
+        w = F.coalesce(when, F.lit(False))
+        df = df.withColumns({a: F.when(w, F.col(b)).otherwise(F.col(a)), b: F.when(w, F.col(a)).otherwise(F.col(b))})
+    return df
+
+
+def complete_draws(df: DataFrame, id: str, draw: Column, kb: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(id, place, keys, columns of kb): each drawn item with its row; a record with any item unknown is left out whole."""
+    d = df.select(id, F.posexplode(draw).alias("place", "x")).select(id, "place", *(F.col("x")[k].alias(k) for k in keys))
+    found = d.join(small(kb.withColumn("__known", F.lit(True))), list(keys), "left")
+    bad = found.where("__known is null").select(id).distinct()
+    return found.join(bad, id, "left_anti").drop("__known")
+
+
+def best_reply(posts: DataFrame, replies: DataFrame, id: str, good: Column, order: Sequence[Column], more: dict[str, Column]) -> DataFrame:
+    """Each post with the first of its good replies by the order (of the columns ``more``), and how many there are; posts without one are left out."""
+    from quern.operators.ordering import first_per
+
+    r = replies.where(good)
+    n = r.groupBy(id).agg(F.count("*").alias("replies"))
+    best = first_per(r.select(id, *(c.alias(k) for k, c in more.items())), [id], order)
+    return posts.join(best, id).join(n, id)
+
+
+def planned(units: Sequence[DataFrame], id: Sequence[str], per: str, n: int, seed: int = 0) -> DataFrame:
+    """Of the cross product of small value tables n combinations for each value of ``per``, the least by seeded MD5 of the key."""
+    from quern.operators.ordering import first_per
+
+    grid = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), units)
+    key = F.md5(F.concat_ws("/", F.lit(str(seed)), *(F.col(c).cast("string") for c in id)))
+    return first_per(grid.withColumn("__h", key), [per], [F.col("__h")], n).drop("__h")

@@ -82,3 +82,23 @@ def numbered_duplicates(df: DataFrame, keys: Sequence[str], order: Sequence[Colu
     """``label #k`` in order where a label stands more than once in its group."""
     w = Window.partitionBy(*keys, label)
     return df.withColumn(out, F.when(F.count("*").over(w) > 1, F.concat(F.col(label), F.lit(" #"), F.row_number().over(w.orderBy(*order)).cast("string"))).otherwise(F.col(label)))
+
+
+def listed(value: Column, known: Sequence[str]) -> Column:
+    """Sort key: the place in the list of known values, those not in it after all."""
+    return F.coalesce(F.nullif(F.array_position(F.lit(list(known)), value), F.lit(0)), F.lit(len(known) + 1))
+
+
+def digits(text: Column) -> Column:
+    """Sort key: the digits in a name as a number, 0 without any."""
+    return F.coalesce(F.regexp_replace(text, r"[^0-9]", "").try_cast("long"), F.lit(0))
+
+
+def capped(df: DataFrame, order: Sequence[Column], most: int) -> DataFrame:
+    """The first rows of a global order, ``most`` of them: taken per task and merged."""
+    return df.orderBy(*order).limit(most)
+
+
+def next_number(df: DataFrame, by: Sequence[str], number: str) -> DataFrame:
+    """(by, next): one more than the largest number of the group, 0 where it has none."""
+    return df.groupBy(*by).agg((F.coalesce(F.max(number), F.lit(-1)) + 1).alias("next"))

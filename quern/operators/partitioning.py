@@ -13,13 +13,23 @@ from quern.plans.lineage import checkpoint
 
 def sample(df: DataFrame, id: Column, n: int, seed: int = 0) -> DataFrame:
     """n rows without replacement: the least seeded hashes, taken per task and merged."""
-    return df.orderBy(F.xxhash64(id, F.lit(seed)), id).limit(n)
+    return df.orderBy(seeded(id, seed), id).limit(n)
+
+
+def seeded(id: Column, seed: int) -> Column:
+    """MD5 of seed/id: the same order in any engine."""
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), id.cast("string")))
+
+
+def exemplars(df: DataFrame, id: Column, text: Column, but: Column, n: int, seed: int = 0) -> DataFrame:
+    """n rows at random with a text that isn't blank, without those of ``but``."""
+    return sample(df.where((F.trim(text) != "") & ~F.coalesce(but, F.lit(False))), id, n, seed)
 
 
 def weighted_sample(df: DataFrame, id: Column, weight: Column, n: int, seed: int = 0) -> DataFrame:
     """n rows without replacement with chances by weight: the least -ln(u)/w."""
-    u = (F.pmod(F.xxhash64(id, F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    return df.where(weight > 0).orderBy(-F.log(u) / weight, id).limit(n)
+    u = (F.conv(F.substring(seeded(id, seed), 1, 13), 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
+    return df.where(weight > 0).orderBy(F.round(-F.log(u) / weight, 9), id).limit(n)
 
 
 def stratified_split(df: DataFrame, id: str, unit: Column, strata: Sequence[str], shares: dict[str, float], rest: str, seed: int = 0, buckets: int = 256) -> DataFrame:

@@ -69,3 +69,9 @@ def detection_rates(results: DataFrame, by: Sequence[str], degraded: str, flagge
 def durations(runs: DataFrame, started: str, ended: str) -> DataFrame:
     """Adds ``duration_s`` and the start as ISO text."""
     return runs.withColumn("duration_s", (F.unix_micros(F.to_timestamp(ended)) - F.unix_micros(F.to_timestamp(started))) / 1e6).withColumn("started_iso", F.date_format(F.to_timestamp(started), "yyyy-MM-dd'T'HH:mm:ss"))
+
+
+def mock_verdict(key: Column, rate: Column, seed: int = 0) -> Column:
+    """A judge without a model: true for a seeded share of the keys."""
+    h = F.md5(F.concat_ws("/", F.lit(str(seed)), key))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0) < rate

@@ -100,3 +100,89 @@ def constraint_report(df: DataFrame, constraints: dict[str, Column]) -> DataFram
     """(rule, violations): rows for which a condition isn't true, of all rules in one pass."""
     one = df.agg(*(F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in constraints.items()))
     return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(f"`{n}`").alias("violations")) for n in constraints))).alias("x")).select("x.*")
+
+
+# Contexts of records, and the spreads that allow few of them.
+CONTEXTS = ("love", "career", "money", "health", "spiritual", "decision")
+SPREAD_CONTEXTS = {"spread_relationship1": ("love",), "spread_relationship2": ("love",), "spread_relationship3": ("love",), "spread_decision": ("decision",)}
+
+
+def context_mismatch(spread: Column, context: Column, allow: dict[str, Sequence[str]] = SPREAD_CONTEXTS) -> Column:
+    """Whether a spread of a domain stands with another domain's context; a null context doesn't fit either. Other spreads allow all."""
+    out = None
+    for s, ok in allow.items():
+        out = (F if out is None else out).when(spread == s, ~F.coalesce(context.isin(*ok), F.lit(False)))
+    return out.otherwise(F.lit(False)) if out is not None else F.lit(False)
+
+
+def rule_findings(df: DataFrame, names: Sequence[str]) -> Column:
+    """struct(reasons, warning) of training records: missing, unknown, mismatched and empty fields first; only where there are none language, spelling, length, cards named and reversed cards said to be so. The warning, where no field is at fault, is the first undrawn name that occurs twice."""
+    from quern.functions.text import first_repeated
+
+    first = {f"schema:{c}": F.col(c).isNull() for c in REQUIRED}
+    known = {"task_type": TASK_TYPES, "length_band": tuple(LENGTH_BOUNDS), "register": REGISTERS}
+    first |= {f"schema:{c}:value": ~F.coalesce(F.col(c).isin(*v), F.lit(False)) for c, v in known.items()}
+    first["spread_context_mismatch"] = context_mismatch(F.col("spread_id"), F.col("querent_context"))
+    first["schema:orientation_count"] = F.size("orientations") != F.size("cards_used")
+    first |= {f"schema:empty_{c}": ~F.coalesce(F.col(c).rlike(r"[^\s\x0B\x85\p{Z}]"), F.lit(False)) for c in ("question_vi", "target_vi", "reading_vi")}
+    text, low = F.col("target_vi"), F.lower("target_vi")
+    n = F.regexp_count(text, F.lit(r"[^\s\x0B\x85\p{Z}]+"))
+    out = reduce(lambda a, k: a.when(F.col("length_band") == k, ~n.between(*LENGTH_BOUNDS[k])), LENGTH_BOUNDS, F.when(F.lit(False), F.lit(False)))
+    then = {
+        "lang_id": marked_word_share(text) < 0.15,
+        "diacritic_health_typo": F.contains(text, F.lit("khoẻ")),
+        "length_bounds": out,
+        "card_containment": let(low, lambda t: F.exists("cards_used", lambda c: ~F.contains(t, F.lower(c["name_en"])))),
+        "orientation_no_nguoc": F.exists("cards_used", lambda c: c["orientation"] == "reversed") & ~F.contains(low, F.lit("ngược")),
+    }
+    drawn = F.transform("cards_used", lambda c: F.lower(c["name_en"]))
+    return let(reasons(first), lambda a: F.struct(F.when(F.size(a) > 0, a).otherwise(reasons(then)).alias("reasons"), F.when(F.size(a) == 0, first_repeated(text, names, drawn)).alias("warning")))
+
+
+def named_as_upright(text: Column, name: Column, within: int = 60) -> Column:
+    """Whether the name is followed, on its line and within so many characters, by a word for upright."""
+    spot = F.concat(F.lit(r"(?iu)\Q"), F.replace(name, F.lit(r"\E"), F.lit("")), F.lit(rf"\E.{{0,{within}}}(?:upright|xuôi)"))
+    return F.coalesce(F.regexp_like(text, spot), F.lit(False))
+
+
+def orientation_findings(draws: DataFrame, kb: DataFrame, text: str, least: int = 2) -> DataFrame:
+    """Of exploded draws (..., card_id, orientation, name_en) the reversed ones whose text has upright keywords of theirs (so many, of 4 letters or more) or names them as upright, with the reasons. A card without a row in ``kb`` (card_id, orientation, keywords) is looked for within 40 characters instead of 60."""
+    from quern.operators.conforming import small
+
+    up = small(kb.where("orientation = 'upright'").select("card_id", F.col("keywords").alias("__k")))
+    hits = let(F.lower(text), lambda low: F.filter(F.transform("__k", lambda k: F.trim(k)), lambda k: (F.length(k) >= 4) & F.contains(low, F.lower(k))))
+    d = draws.where("orientation = 'reversed'").join(up, "card_id", "left")
+    named = F.when(F.col("__k").isNull(), named_as_upright(F.col(text), F.col("name_en"), 40)).otherwise(named_as_upright(F.col(text), F.col("name_en")))
+    found = reasons({"reversed_draw_has_upright_keywords": F.size(hits) >= least, "reversed_named_as_upright": named})
+    return d.withColumn("reasons", found).where(F.size("reasons") > 0).drop("__k")
+
+
+def text_gates(text: Column, name: Column, keywords: Column, drift: Column, forbidden: dict[str, Sequence[str]], least_recall: float = 0.7, most_drift: float = 0.55) -> Column:
+    """struct(inline, recall, drift_ok, clean, passed): the name stands in the text, enough keywords do, the likeness to other texts isn't too high, no forbidden claim is made; passed: all."""
+    from quern.functions.text import keyword_containment, matched_categories
+
+    spot = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), name, F.lit(r"\E(?![\p{L}\p{N}_])"))
+    parts = F.struct(F.coalesce(F.regexp_like(text, spot), F.lit(False)).alias("inline"), keyword_containment(text, keywords).alias("recall"), F.coalesce(drift <= most_drift, F.lit(True)).alias("drift_ok"), (F.size(matched_categories(text, forbidden)) == 0).alias("clean"))
+    return let(parts, lambda g: F.struct(g["inline"].alias("inline"), g["recall"].alias("recall"), g["drift_ok"].alias("drift_ok"), g["clean"].alias("clean"), (g["inline"] & (g["recall"] >= least_recall) & g["drift_ok"] & g["clean"]).alias("passed")))
+
+
+def gate_counts(df: DataFrame, state: Column) -> DataFrame:
+    """One row (processed, passed, failed, pending): pending has no state."""
+    return df.agg(F.count("*").alias("processed"), F.count_if(F.coalesce(state, F.lit(False))).alias("passed"), F.count_if(F.coalesce(~state, F.lit(False))).alias("failed"), F.count_if(state.isNull()).alias("pending"))
+
+
+def axis_counts(df: DataFrame, axes: dict[str, Column], most: float = 0.6) -> DataFrame:
+    """(axis, passed, failed, defect): of judged rows; an unknown verdict fails. defect: more than so much of them fails."""
+    one = df.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(f"{a}_p") for a, c in axes.items()), F.count("*").alias("n"))
+    rows = F.array(*(F.struct(F.lit(a).alias("axis"), F.col(f"{a}_p").alias("passed"), (F.col("n") - F.col(f"{a}_p")).alias("failed")) for a in axes))
+    return one.select(F.explode(rows).alias("x")).select("x.*").withColumn("defect", F.col("failed") / F.greatest(F.lit(1), F.col("passed") + F.col("failed")) > most)
+
+
+def rejection_rate(df: DataFrame, rejected: Column) -> DataFrame:
+    """One row (rate): share of rejected rows to four places; null without rows."""
+    return df.agg(F.bround(F.avg(rejected.cast("double")), 4).alias("rate"))
+
+
+def all_equal(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """(keys, equal): whether the rows of a group agree in all the values, nulls included."""
+    return df.groupBy(*keys).agg((F.countDistinct(F.to_json(F.struct(*values), {"ignoreNullFields": "false"})) == 1).alias("equal"))

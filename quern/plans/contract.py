@@ -35,14 +35,33 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def records(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """First delivery of each record: an aggregation with map-side combine over the wanted columns only."""
+#: Columns of long texts, which aren't shuffled to find the first delivery.
+LONG = {"reading_vi", "target_vi", "question_vi", "reading_vi_original", "position_glosses"}
+
+
+def records(spark: SparkSession, d: str, *columns: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """First delivery of each record, of the wanted columns only.
+
+    A record delivered again differs in its time of ingestion only, so ``keep``, a
+    filter, may come first, at the scan. Long texts aren't shuffled: ids that
+    occur twice are found on narrow columns, and only their rows are aggregated.
+    """
     t = table(spark, d, "sft_rows")
+    if keep is not None:
+        t = keep(t)
     wanted = [c for c in columns if c != "example_id"]
     if not wanted:
         return t.select("example_id").distinct()
-    first = t.groupBy("example_id").agg(F.min_by(F.struct(*wanted), "ingested_at").alias("x"))
-    return first.select("example_id", *(F.col(f"x.{c}").alias(c) for c in wanted))
+
+    def first(x: DataFrame) -> DataFrame:
+        g = x.groupBy("example_id").agg(F.min_by(F.struct(*wanted), "ingested_at").alias("x"))
+        return g.select("example_id", *(F.col(f"x.{c}").alias(c) for c in wanted))
+
+    if not LONG & {*wanted}:
+        return first(t)
+    again = conforming.small(t.groupBy("example_id").agg(F.count("*").alias("n")).where("n > 1").select("example_id"))
+    narrow = t.select("example_id", "ingested_at", *wanted)
+    return narrow.join(again, "example_id", "left_anti").select("example_id", *wanted).unionByName(first(narrow.join(again, "example_id", "left_semi")))
 
 
 # --- rows: filters, search, pages, lookups
@@ -53,9 +72,9 @@ def records(spark: SparkSession, d: str, *columns: str) -> DataFrame:
       and contains(lower(concat_ws(chr(0), question_vi, reading_vi, array_to_string(position_glosses, chr(0)))), lower('CON THUYỀN'))
     order by example_id limit 50""")
 def rows_filter_page(spark, d):
-    r = records(spark, d, "task_type", "register", "querent_context", "ifd_score", "question_vi", "reading_vi", "position_glosses")
     f = filtering.RowFilter(register="warm", ifd_min=-0.1, ifd_max=0.5, q="CON THUYỀN")
-    return ordering.page(filtering.matching(r, f, kind="sft"), [F.col("example_id")], 1, 50).select("example_id", "task_type", "querent_context", "ifd_score")
+    r = records(spark, d, "task_type", "querent_context", "ifd_score", keep=lambda t: filtering.matching(t, f, kind="sft"))
+    return ordering.page(r, [F.col("example_id")], 1, 50).select("example_id", "task_type", "querent_context", "ifd_score")
 
 
 @query("select c_custkey, c_name, c_acctbal from customer where c_custkey = 42")
@@ -70,12 +89,12 @@ def rows_composite_lookup(spark, d):
 
 @query(f"select example_id from {ONCE} where list_contains(card_ids, 7) and list_contains(orientations, 'reversed')")
 def rows_membership_filter(spark, d):
-    return filtering.matching(records(spark, d, "card_ids", "orientations"), filtering.RowFilter(card_id="7", orientation="reversed")).select("example_id")
+    return records(spark, d, keep=lambda t: filtering.matching(t, filtering.RowFilter(card_id="7", orientation="reversed")))
 
 
 @query(f"select example_id, ifd_score from {ONCE} where ifd_score is null or ifd_score >= 0.2")
 def rows_score_range(spark, d):
-    return filtering.matching(records(spark, d, "ifd_score"), filtering.RowFilter(ifd_min=0.2)).select("example_id", "ifd_score")
+    return records(spark, d, "ifd_score", keep=lambda t: filtering.matching(t, filtering.RowFilter(ifd_min=0.2)))
 
 
 @query("select tier, count(*) as n, count(ifd_score) as scored from sft_rows group by tier")
@@ -91,7 +110,16 @@ def export_ndjson_digest(spark, d):
     return canonical.digest(n, canonical.canonical_json(n), [F.col("n_nationkey")])
 
 
-@query()
+def _json_sql(columns: dict[str, str]) -> str:
+    """SQL of a canonical JSON object of the columns: their kinds are text, number or list (of texts)."""
+    said = {"text": "coalesce(to_json({})::varchar, 'null')", "number": "coalesce({}::varchar, 'null')", "list": "coalesce(to_json({})::varchar, 'null')"}
+    return "'{' || " + " || ',' || ".join(f"'\"{c}\":' || {said[k].format(c)}" for c, k in sorted(columns.items())) + " || '}'"
+
+
+CARD_COLUMNS = dict.fromkeys(("name_en", "name_vi_gloss", "arcana", "suit", "rank_name", "orientation", "element", "polarity_axis", "meaning_en", "meaning_vi", "yes_no", "vi_provenance"), "text") | {"card_id": "number", "keywords_vi": "list"}
+
+
+@query(f"select card_id, orientation, {_json_sql(CARD_COLUMNS)} as line from cards")
 def canonical_json_rows(spark, d):
     c = table(spark, d, "cards")
     return c.select("card_id", "orientation", canonical.canonical_json(c).alias("line"))
@@ -395,9 +423,9 @@ def compact_cards(spark, d):
     return c.select("card_id", "orientation", F.array_join("x.keywords", "|").alias("keywords"), "x.meaning")
 
 
-@query("select round(avg(greatest(1, len(regexp_extract_all(meaning_en, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]')))), 6) as mean_tokens from cards where not regexp_matches(meaning_en, '[^\\x00-\\x7f]')")
+@query("select round(avg(greatest(1, len(regexp_extract_all(meaning_en, '[\\pL\\pM\\p{Nd}\\p{Pc}]+|[^\\pL\\pM\\p{Nd}\\p{Pc}\\s\\x0b\\x{85}\\p{Z}]')))), 6) as mean_tokens from cards")
 def mean_token_estimate(spark, d):
-    return table(spark, d, "cards").where(~F.col("meaning_en").rlike(r"[^\x00-\x7f]")).agg(F.round(F.avg(text.token_estimate(F.col("meaning_en"))), 6).alias("mean_tokens"))
+    return table(spark, d, "cards").agg(F.round(F.avg(text.token_estimate(F.col("meaning_en"))), 6).alias("mean_tokens"))
 
 
 @query("select p_partkey, trim(regexp_replace(lower(p_brand || ' ' || p_name), '[^a-z0-9]+', '-', 'g'), '-') as slug from part")
@@ -416,10 +444,10 @@ def html_to_text(spark, d):
     return table(spark, d, "nation").select("n_nationkey", text.from_html(page).alias("plain"))
 
 
-@query("select c_custkey, 'key [REDACTED] Bearer [REDACTED] for [REDACTED]' as line from customer where c_custkey < 20")
+@query("select c_custkey, 'key [REDACTED] Bearer [REDACTED] for [REDACTED]' as line from customer")
 def secret_scrubbing(spark, d):
     line = F.concat(F.lit("key sk-abcdefgh"), F.col("c_custkey").cast("string"), F.lit(" bearer tok.en"), F.col("c_custkey").cast("string"), F.lit(" for hunter2"))
-    return table(spark, d, "customer").where("c_custkey < 20").select("c_custkey", text.scrub(line, ["hunter2"]).alias("line"))
+    return table(spark, d, "customer").select("c_custkey", text.scrub(line, ["hunter2"]).alias("line"))
 
 
 @query("""select doc_id, case when length(text) >= 2000 then 'long' when contains(text, '?') then 'question' when length(text) >= 350 then 'strict' when length(text) >= 250 then 'relaxed' else 'short' end as label from documents where text is not null""")
@@ -559,12 +587,12 @@ def orientation_conflicts(spark, d):
     return validating.orientation_conflicts(u, kb, "reading_vi").select("example_id", "card_id", F.size("hits").alias("hits")).distinct()
 
 
-@query(f"""with k as (select distinct card_id, lower(trim(k)) as keyword from (select card_id, unnest(keywords_vi) as k from cards) where length(lower(trim(k))) >= 5), few as (select keyword from k group by 1 having count(distinct card_id) <= 40), w as (select k.* from k join few using (keyword))
+@query(f"""with k as (select distinct card_id, lower(trim(k)) as keyword from (select card_id, unnest(keywords_vi) as k from cards) where length(lower(trim(k))) >= 5), few as (select keyword from k group by 1 having count(distinct card_id) <= 2), w as (select k.* from k join few using (keyword))
     select example_id, card_id, count(*) as hits from (select example_id, reading_vi, list_transform(cards_used, lambda c: c.card_id) as drawn from {ONCE} where reading_vi is not null and cards_used is not null) r join w on contains(lower(reading_vi), keyword) and not list_contains(drawn, card_id) group by 1, 2 having count(*) >= 2""")
 def keyword_collisions(spark, d):
     r = records(spark, d, "reading_vi", "cards_used").where("reading_vi is not null and cards_used is not null").select("example_id", "reading_vi", F.transform("cards_used", lambda c: c["card_id"]).alias("drawn"))
     kb = table(spark, d, "cards").select("card_id", F.col("keywords_vi").alias("keywords"))
-    return validating.keyword_collisions(r, "example_id", "reading_vi", "drawn", kb, most_cards=40)
+    return validating.keyword_collisions(r, "example_id", "reading_vi", "drawn", kb)
 
 
 @query("""select * from (values ('cards_156', (select count(*) = 156 from cards)), ('orientations_2', (select count(distinct orientation) = 2 from cards)), ('meanings', (select count(*) filter (meaning_vi is null) = 0 from cards)), ('all', (select count(*) = 156 and count(distinct orientation) = 2 and count(*) filter (meaning_vi is null) = 0 from cards))) t("check", passed)""")
@@ -615,12 +643,12 @@ def stratified_group_split(spark, d):
     return partitioning.repair_coverage(a, items, "example_id", "train")
 
 
-@query()
+@query("select doc_id, source from documents order by md5('7/' || doc_id), doc_id limit 100")
 def seeded_sample(spark, d):
     return partitioning.sample(table(spark, d, "documents").select("doc_id", "source"), F.col("doc_id"), 100, seed=7)
 
 
-@query()
+@query("""select p_partkey, p_size from part where p_size > 0 order by round(-ln((('0x' || md5('7/' || p_partkey)[1:13])::bigint + 0.5::double) / 4503599627370496) / p_size, 9), p_partkey limit 100""")
 def weighted_sample(spark, d):
     return partitioning.weighted_sample(table(spark, d, "part").select("p_partkey", "p_size"), F.col("p_partkey"), F.col("p_size"), 100, seed=7)
 
@@ -665,7 +693,7 @@ def json_key_listing(spark, d):
 
 @query()
 def file_catalog(spark, d):
-    return readers.file_facts(spark, f"{d}/nation.parquet").select("name", "bytes", "sha256")
+    return readers.file_facts(spark, f"{d}/*.parquet").select("name", "bytes", "sha256")
 
 
 @query("select date_trunc('day', ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
