@@ -7,8 +7,10 @@ pairs, so it is computed on that graph, in rounds, instead of row by row.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -58,34 +60,51 @@ def minhash(text: Column, k: int = 128, shingle: int = 5, seed: int = 7) -> Colu
             x = np.fromiter((zlib.crc32(s.encode("utf-8", "surrogatepass")) for s in seen), np.int64, len(seen))
             least = np.full(k, PRIME, np.int64)
             for i in range(0, len(x), 4096):  # long texts in portions
-                np.minimum(least, ((a * x[None, i : i + 4096] + b) % PRIME).min(axis=1), out=least)
+                y = a * x[None, i : i + 4096] + b
+                for _ in range(2):  # modulo 2^31 - 1 by folding
+                    y = (y & PRIME) + (y >> 31)
+                y[y >= PRIME] -= PRIME
+                np.minimum(least, y.min(axis=1), out=least)
             out.append(least)
         return pd.Series(out)
 
     return lanes(text)
 
 
-def banded_pairs(df: DataFrame, id: str, lanes: str, words: str, *, bands: int = 32, agree: float = 0.85, window: float = 1.2) -> DataFrame:
+def banded_pairs(df: DataFrame, id: str, lanes: str, words: str, *, bands: int = 32, agree: float = 0.85, window: float = 1.2, sides: str | None = None) -> DataFrame:
     """(a, b), a < b: pairs whose share of equal lanes reaches ``agree``, sizes within the window either way.
 
     Rows with the same lanes are one node, with their least id, see ``with_copies``. Candidates share
     a band of lanes; with 32 bands of 4 lanes a pair at 0.85 is missed with a
     chance of (1 - 0.85^4)^32 = 1e-10. Bands are also keyed by the size's
-    logarithm, so a bucket holds only sizes that may match.
+    logarithm, so a bucket holds only sizes that may match. With ``sides``, a
+    column, only rows of different sides are paired.
     """
-    same = df.groupBy(F.xxhash64(lanes).alias("node"), words).agg(F.min(id).alias(id), F.first(lanes).alias(lanes))
+    side = F.lit(0) if sides is None else F.col(sides)
+    node = F.xxhash64(lanes, side).alias("node")
+    same = df.groupBy(node, words, side.alias("side")).agg(F.min(id).alias(id), F.first(lanes).alias(lanes))
     rows = F.size(lanes) / bands
     step = F.floor(F.log(F.greatest(F.col(words), F.lit(1)).cast("double")) / F.log(F.lit(float(window))))
-    d = checkpoint(same.withColumn("step", step.cast("int")))
+    d = checkpoint(same.select("node", id, words, "side", F.transform(lanes, lambda x: x.cast("int")).alias(lanes), step.cast("int").alias("step")))
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice(lanes, (i * rows + 1).cast("int"), rows.cast("int"))))
-    left = d.select(F.col(id).alias("a"), F.col(words).alias("wa"), F.explode(keys).alias("band"), F.col("step").alias("s"))
-    right = d.select(F.col(id).alias("b"), F.col(words).alias("wb"), F.explode(keys).alias("band"), "step").select("b", "wb", "band", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("s"))
-    near = (F.col("a") < F.col("b")) & (F.col("wa") * window >= F.col("wb")) & (F.col("wb") * window >= F.col("wa"))
-    pairs = left.join(right, ["band", "s"]).where(near).select("a", "b").distinct()
+    keyed = d.select(F.col(id).alias("a"), F.col(words).alias("wa"), F.col("side").alias("sa"), "step", F.explode(keys).alias("band"))
+    # a row meets those of its own step and, once more under the next step's key, those of the next
+    right = keyed.select(F.col("a").alias("b"), F.col("wa").alias("wb"), F.col("sa").alias("sb"), "band", F.explode(F.array(F.struct("step", F.lit(True).alias("own")), F.struct((F.col("step") + 1).alias("step"), F.lit(False).alias("own")))).alias("x")).select("b", "wb", "sb", "band", "x.*")
+    near = (F.col("a") < F.col("b")) | (~F.col("own") & (F.col("a") != F.col("b")))
+    if sides is not None:
+        near &= F.col("sa") != F.col("sb")
+    sizes = (F.col("wa") * window >= F.col("wb")) & (F.col("wb") * window >= F.col("wa"))
+    pairs = keyed.join(right, ["band", "step"]).where(near & sizes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     la, lb = d.select(F.col(id).alias("a"), F.col(lanes).alias("la")), d.select(F.col(id).alias("b"), F.col(lanes).alias("lb"))
-    equal = F.aggregate(F.zip_with("la", "lb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v)
-    found = pairs.join(la, "a").join(lb, "b").where(equal >= agree * F.size("la")).select("a", "b")
-    copies = df.select(F.xxhash64(lanes).alias("node"), words, F.col(id).alias("copy")).join(same.select("node", words, F.col(id).alias("rep")), ["node", words]).where("copy <> rep").select("rep", "copy")
+
+    @F.pandas_udf("boolean")
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=bool)
+        return pd.Series((np.stack(x.to_numpy()) == np.stack(y.to_numpy())).mean(axis=1) >= agree - 1e-12)
+
+    found = pairs.join(la, "a").join(lb, "b").where(alike("la", "lb")).select("a", "b")
+    copies = df.select(node, words, F.col(id).alias("copy")).join(same.select("node", words, F.col(id).alias("rep")), ["node", words]).where("copy <> rep").select("rep", "copy")
     return with_copies(found, copies)
 
 
@@ -127,25 +146,40 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame, id: str, rank: str, protecte
     return n.join(dropped.distinct().withColumn("__d", F.lit(True)), "id", "left").select(F.col("id").alias(id), F.col("__d").isNull().alias("kept"))
 
 
-def cosine_pairs(vectors: DataFrame, id: str, vector: str, least: float, *, tables: int = 24, bits: int = 8, dims: int = 64, seed: int = 7) -> DataFrame:
+def hyperplanes(n: int, least: float, miss: float = 1e-4, most_bits: int = 24) -> tuple[int, int]:
+    """(tables, bits) for n vectors: about as many buckets as vectors, so that what isn't alike seldom meets, and as many tables as find a pair at the cosine ``least`` but for a chance of ``miss``."""
+    bits = min(max(math.ceil(math.log2(max(n, 2))), 8), most_bits)
+    hit = (1 - math.acos(min(least, 1.0)) / math.pi) ** bits
+    return max(math.ceil(math.log(miss) / math.log1p(-hit)), 1) if hit < 1 else 1, bits
+
+
+@lru_cache(maxsize=2)
+def _planes(dims: int, count: int, seed: int) -> np.ndarray:
+    return np.random.RandomState(seed).standard_normal((dims, count)).astype(np.float32)
+
+
+def _bucket_keys(v: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
+    side = (v.astype(np.float32) @ _planes(v.shape[1], tables * bits, seed) > 0).reshape(len(v), tables, bits)
+    return side @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << bits)
+
+
+def cosine_pairs(vectors: DataFrame, id: str, vector: str, least: float, *, miss: float = 1e-4, seed: int = 7) -> DataFrame:
     """(a, b), a < b: pairs of dense vectors at least so alike, by random-hyperplane tables and an exact check.
 
-    Vectors with the same numbers are one node first, see ``with_copies``. A pair at angle t shares
-    one of the tables' buckets with chance 1 - (1 - (1 - t/pi)^bits)^tables; at
-    cosine 0.92 that is 0.9999. Neighbouring buckets aren't probed.
+    Vectors with the same numbers are one node first, see ``with_copies``. The
+    number of tables and of their buckets follow from the number of nodes, see
+    ``hyperplanes``. Neighbouring buckets aren't probed.
     """
-    planes = np.random.RandomState(seed).standard_normal((tables * bits, dims))
+    unit = F.transform(vector, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x * x))
+    d = checkpoint(vectors.select(F.col(id).alias("id"), let(norm, lambda z: F.when(z > 0, F.transform(unit, lambda x: x / z))).alias("v")).where("v is not null"))
+    keyed = checkpoint(d.groupBy(F.sha2(F.to_json("v"), 256).alias("h")).agg(F.min("id").alias("id"), F.first("v").alias("v")))
+    tables, bits = hyperplanes(keyed.count(), least, miss)
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def bucket_keys(v: pd.Series) -> pd.Series:
-        side = (np.stack(v.to_numpy()) @ planes.T > 0).reshape(len(v), tables, bits)
-        return pd.Series(list(side @ (1 << np.arange(bits)) + (np.arange(tables) << bits)))
+        return pd.Series(list(_bucket_keys(np.stack(v.to_numpy()), tables, bits, seed)) if len(v) else [])
 
-    unit = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x * x))
-    d = checkpoint(vectors.select(F.col(id).alias("id"), let(norm, lambda z: F.when(z > 0, F.transform(unit, lambda x: x / z))).alias("v")).where("v is not null"))
-    keyed = d.groupBy(F.sha2(F.to_json("v"), 256).alias("h")).agg(F.min("id").alias("id"), F.first("v").alias("v"))
-    keyed = checkpoint(keyed)
     buckets = keyed.select("id", F.explode(bucket_keys("v")).alias("k"))
     pairs = buckets.select(F.col("id").alias("a"), "k").join(buckets.select(F.col("id").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
     both = pairs.join(keyed.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(keyed.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
@@ -155,6 +189,83 @@ def cosine_pairs(vectors: DataFrame, id: str, vector: str, least: float, *, tabl
     return with_copies(found, copies)
 
 
+def gram_vector(text: str, n: int = 4, dims: int = 4096) -> np.ndarray:
+    """L2-normalised counts of the hashed character n-grams of the lower-cased text, blanks added to a shorter one."""
+    t = text.lower().ljust(n)
+    v = np.bincount([zlib.crc32(t[i : i + n].encode("utf-8", "surrogatepass")) % dims for i in range(len(t) - n + 1)], minlength=dims).astype(np.float64)
+    return v / np.sqrt(v @ v)
+
+
+def text_cosine_pairs(left: DataFrame, id: str, text: str, least: float, right: DataFrame | None = None) -> DataFrame:
+    """(a, b): texts whose hashed character 4-grams have at least that cosine; a < b of one table, or a of the left and b of the right one.
+
+    Rows with the same text are one node first. Vectors of one language are all
+    alike to some degree, so hyperplanes don't tell them apart; candidates share a
+    band of 4 of 256 MinHash lanes over the 4-grams, and at least 0.7 c / (2 - c)
+    of the lanes for a cosine c: without the 0.7 that is the likeness of two sets
+    of grams that occur once each (0.85 for 0.92). A pair whose likeness is 0.6
+    misses all bands with a chance of 1e-4. The cosine itself is exact. Copies: of one table see ``with_copies``; between two
+    tables each row of the left stands with one row of the right for each
+    different text. Null texts are in no pair.
+    """
+
+    def nodes(df: DataFrame) -> DataFrame:
+        return df.where(F.col(text).isNotNull()).groupBy(F.sha2(text, 256).alias("h")).agg(F.min(id).alias("id"), F.first(text).alias("t"))
+
+    @F.pandas_udf("double")
+    def cosine(x: pd.Series, y: pd.Series) -> pd.Series:
+        out: list[float] = []
+        for i in range(0, len(x), 500):
+            s, t = x[i : i + 500].tolist(), y[i : i + 500].tolist()
+            v = {w: gram_vector(w).astype(np.float32) for w in {*s, *t}}
+            out += [float(v[p].astype(np.float64) @ v[q]) for p, q in zip(s, t, strict=True)]
+        return pd.Series(out, dtype="float64")
+
+    one = nodes(left).withColumn("side", F.lit(0))
+    both = one if right is None else one.unionByName(nodes(right).withColumn("side", F.lit(1)))
+    n = checkpoint(both.withColumn("key", F.struct("side", "id")))
+    lanes = checkpoint(n.select("key", "side", minhash(F.col("t"), k=256, shingle=4).alias("lanes"), F.length("t").alias("size")))
+    pairs = banded_pairs(lanes, "key", "lanes", "size", bands=64, agree=0.7 * least / (2 - least), window=2.0, sides=None if right is None else "side")
+    pairs = pairs.where("a.side <> b.side") if right is not None else pairs
+    ends = n.select("key", "t")
+    met = pairs.join(ends.select(F.col("key").alias("a"), F.col("t").alias("ta")), "a").join(ends.select(F.col("key").alias("b"), F.col("t").alias("tb")), "b")
+    found = met.where(cosine("ta", "tb") >= least - 1e-6).select("a.id", "b.id").toDF("a", "b")
+    rep = left.where(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("h"), F.col(id).alias("copy")).join(n.where("side = 0").select("h", F.col("id").alias("rep")), "h")
+    if right is None:
+        return with_copies(found, rep.where("copy <> rep").select("rep", "copy"))
+    return found.withColumnRenamed("a", "rep").join(rep.select("rep", "copy"), "rep").select(F.col("copy").alias("a"), "b")
+
+
+def remembered(batch: DataFrame, memory: DataFrame, id: str, text: str, least: float = 0.92) -> DataFrame:
+    """(id, duplicate): whether the memory holds a row's text, or one with at least that cosine. Nothing is added to the memory. Null texts are no duplicates."""
+    hit = text_cosine_pairs(batch, id, text, least, memory).select(F.col("a").alias(id)).distinct().withColumn("__d", F.lit(True))
+    return batch.select(id).join(hit, id, "left").select(id, F.coalesce("__d", F.lit(False)).alias("duplicate"))
+
+
+def replayed(df: DataFrame, id: str, text: str, position: Column, least: float = 0.92) -> DataFrame:
+    """(id, duplicate) of a table read in order into an empty memory that takes what is no duplicate."""
+    d = checkpoint(df.select(id, text, position.alias("__pos")))
+    keep = greedy_keep(d, text_cosine_pairs(d, "__pos", text, least), "__pos", "__pos")
+    return d.select(id, "__pos").join(keep, "__pos").select(id, (~F.col("kept")).alias("duplicate"))
+
+
+def duplicate_rate(flags: DataFrame) -> DataFrame:
+    """One row (n, dups, rate), the rate to four places; 0 without rows."""
+    return flags.agg(F.count("*").alias("n"), F.count_if("duplicate").alias("dups"), F.coalesce(F.bround(F.avg(F.col("duplicate").cast("double")), 4), F.lit(0.0)).alias("rate"))
+
+
+def ablation(batch: DataFrame, flags: DataFrame, id: str, text: str, phrases: list[str], grams: Callable[[Column], Column]) -> DataFrame:
+    """(kept, n, distinct) of a batch as it is ("none"), without what is remembered ("memory"), and without texts that hold a listed phrase too ("all"); distinct: different n-grams by all, to four places. If the last keeps nothing, it is as the one before."""
+    clean = ~F.coalesce(reduce(Column.__or__, (F.contains(text, F.lit(p)) for p in phrases), F.lit(False)), F.lit(False))
+    d = checkpoint(batch.join(flags, id).select(F.col(text).alias("t"), (~F.col("duplicate")).alias("memory"), (~F.col("duplicate") & clean).alias("all")))
+    some = d.agg(F.max("all")).first()[0]
+    d = d.withColumn("all", F.col("all") if some else F.col("memory"))
+    sets = F.array_compact(F.array(F.lit("none"), F.when(F.col("memory"), "memory"), F.when(F.col("all"), "all")))
+    n = d.select(F.explode(sets).alias("kept")).groupBy("kept").agg(F.count("*").alias("n"))
+    g = d.select(F.explode(sets).alias("kept"), "t").select("kept", F.explode(grams(F.col("t"))).alias("g")).groupBy("kept", "g").agg(F.count("*").alias("c")).groupBy("kept").agg(F.bround(F.count("*") / F.sum("c"), 4).alias("distinct"))
+    return n.join(g, "kept", "left").select("kept", "n", F.coalesce("distinct", F.lit(0.0)).alias("distinct"))
+
+
 def sparse_pairs(vectors: DataFrame, id: str, vector: str, candidates: DataFrame, least: float) -> DataFrame:
     """(a, b, cosine) of candidate pairs by their sparse maps of dimension to weight."""
     w = vectors.select(F.col(id).alias("id"), F.explode(vector).alias("dim", "w"))
@@ -162,17 +273,31 @@ def sparse_pairs(vectors: DataFrame, id: str, vector: str, candidates: DataFrame
     return s.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
 
 
-def cascade(df: DataFrame, id: str, text: str, key: Column, structure: Sequence[Column] | None, position: Column, protected: Column, agree: float = 0.85) -> DataFrame:
-    """(id, stage): why each row went - exact, structural, near - or kept. Cheapest stages first, each on the survivors of the one before. ``position`` is unique and orders the rows."""
-    d = checkpoint(df.withColumn("__pos", position).withColumn("__key", key).withColumn("__safe", F.coalesce(protected, F.lit(False))))
+def cascade(df: DataFrame, id: str, text: str, key: Column, structure: Sequence[Column] | None, position: Column, protected: Column, agree: float = 0.85, cosine: float | None = None) -> DataFrame:
+    """(id, stage): why each row went - exact, structural, near, or with a ``cosine`` embedding - or kept. Cheapest stages first, each on the survivors of the one before; the last two are one greedy removal, and near comes first where both hold. ``position`` is unique and orders the rows. Texts are read again for the last stages in place of being stored."""
+    made = [c.alias(f"__k{i}") for i, c in enumerate(structure or ())]
+    d = checkpoint(df.select(F.col(id), *made, position.alias("__pos"), key.alias("__key"), F.coalesce(protected, F.lit(False)).alias("__safe")))
     a = exact(d, F.col("__key"), F.col("__pos"))
-    b = structural(a, structure, F.col("__pos"), F.col("__safe")) if structure else a
-    b = checkpoint(b.withColumn("__lanes", minhash(F.col(text))).withColumn("__words", F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))))
-    keep = greedy_keep(b, banded_pairs(b.where(F.col(text).isNotNull()), "__pos", "__lanes", "__words", agree=agree), "__pos", "__pos", F.col("__safe"))
-    keep = keep.join(b.select("__pos", id), "__pos").select(id, "kept")
+    b = checkpoint(structural(a, [F.col(f"__k{i}") for i in range(len(made))], F.col("__pos"), F.col("__safe")) if structure else a)
+    t = df.select(position.alias("__pos"), F.col(text).alias("__t")).where("__t is not null").join(b.select("__pos"), "__pos", "left_semi")
+    lanes = checkpoint(t.select("__pos", minhash(F.col("__t")).alias("__lanes"), F.size(F.filter(F.split("__t", r"(?U)\s+"), lambda w: w != "")).alias("__words")))
+    near = banded_pairs(lanes, "__pos", "__lanes", "__words", agree=agree)
+    pairs = near
+    if cosine is not None:
+        near = checkpoint(near)
+        pairs = near.union(text_cosine_pairs(t, "__pos", "__t", cosine)).distinct()
+    keep = greedy_keep(b, pairs, "__pos", "__pos", F.col("__safe"))
+    if cosine is not None:
+        keep = checkpoint(keep)
+        alive = keep.where("kept").select(F.col("__pos").alias("a"))
+        by_near = near.join(alive, "a", "left_semi").select(F.col("b").alias("__pos")).distinct().withColumn("__near", F.lit(True))
+        keep = keep.join(by_near, "__pos", "left")
+    else:
+        keep = keep.withColumn("__near", F.lit(True))
+    keep = keep.join(b.select("__pos", id), "__pos").select(id, "kept", "__near")
     mark = lambda x, c: x.select(F.col(id), F.lit(True).alias(c)).distinct()
     out = d.select(id).join(mark(a, "x"), id, "left").join(mark(b, "s"), id, "left").join(keep.distinct(), id, "left")
-    return out.select(id, F.when(F.col("x").isNull(), "exact").when(F.col("s").isNull(), "structural").when(~F.col("kept"), "near").otherwise("kept").alias("stage"))
+    return out.select(id, F.when(F.col("x").isNull(), "exact").when(F.col("s").isNull(), "structural").when(F.col("kept"), "kept").when(F.col("__near"), "near").otherwise("embedding").alias("stage"))
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import canonical, text
-from quern.operators import aggregating, conforming, filtering, integrity, ordering, partitioning, validating
+from quern.operators import aggregating, conforming, deduplicating, filtering, integrity, ordering, partitioning, validating
 from quern.plans.contract import ONCE, ORACLES, query, records, table
+from quern.plans.lineage import checkpoint
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "sft_rows", "splits", "ifd_scores", "anchor_readings", "cards", "spreads", "sample_targets", "split_targets", "mix_targets")
 B, E = "(^|[^\\pL\\pN_])", "($|[^\\pL\\pN_])"
@@ -388,3 +389,41 @@ def tightening_blacklist(spark, d):
     r = records(spark, d, "reading_vi").where("reading_vi is not null")
     b = F.pmod(F.conv(F.substring(F.md5("example_id"), 1, 4), 16, 10).cast("int"), F.lit(4))
     return aggregating.tightening(r.select(b.alias("batch"), F.explode(text.ngrams(text.tokens(F.col("reading_vi")), 2)).alias("gram")), "batch", 4)
+
+
+# --- memory of texts: order-dependent or by hashed vectors, so without SQL (tested against row-by-row versions)
+
+
+@query()
+def cascade_stages(spark, d):
+    columns = ("target_vi", "card_ids", "orientations", "task_type", "spread_id", "length_band", "register", "matched_pair_id")
+    r = records(spark, d, *columns)
+    structure = [F.array_sort("card_ids"), *map(F.col, ("orientations", "task_type", "spread_id", "length_band", "register"))]
+    key = F.sha2(canonical.canonical_json(r), 256)
+    stages = deduplicating.cascade(r, "example_id", "target_vi", key, structure, F.col("example_id"), F.col("matched_pair_id").isNotNull(), cosine=0.92)
+    return stages.groupBy("stage").agg(F.count("*").alias("n"))
+
+
+def _anchors(spark, d):
+    return table(spark, d, "anchor_readings").where("prose_vi is not null").select(F.col("anchor_id").alias("id"), F.col("prose_vi").alias("t"))
+
+
+@query()
+def memory_rate(spark, d):
+    memory = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("t"))
+    return deduplicating.duplicate_rate(deduplicating.remembered(_anchors(spark, d), memory, "id", "t"))
+
+
+@query()
+def replay_rate(spark, d):
+    return deduplicating.duplicate_rate(deduplicating.replayed(_anchors(spark, d), "id", "t", F.col("id")))
+
+
+@query()
+def ablation_report(spark, d):
+    a = _anchors(spark, d)
+    flags = checkpoint(deduplicating.replayed(a, "id", "t", F.col("id")))
+    grams = lambda t: text.ngrams(text.tokens(t), 2)
+    listed = aggregating.blacklist(a.select(F.explode(text.ngrams(text.tokens(F.col("t")), 4)).alias("gram")), ["xuôi", "ngược"])
+    phrases = [r["gram"] for r in listed.select("gram").collect()]  # anchors are a fixed table
+    return deduplicating.ablation(a, flags, "id", "t", phrases, grams)

@@ -73,3 +73,28 @@ def read_through(requests: DataFrame, cache: DataFrame, columns: list[str]) -> t
     k = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
     r = requests.withColumn("key", k)
     return r.join(cache, "key"), r.join(cache, "key", "left_anti")
+
+
+def settings(text: str) -> dict[str, str]:
+    """KEY=VALUE lines: blank ones, comments and lines without = are skipped, quotes around a value go, the first of a repeated key stays."""
+    out: dict[str, str] = {}
+    for line in text.splitlines():
+        key, eq, value = line.strip().removeprefix("export ").partition("=")
+        if eq and key.strip() and not key.startswith("#"):
+            value = value.strip()
+            out.setdefault(key.strip(), value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value)
+    return out
+
+
+def first_keys(spark: SparkSession, path: str) -> list[str]:
+    """Keys of the first line of a JSON-lines file that holds an object, sorted; none without one."""
+    r = spark.read.text(path).select(F.json_object_keys("value").alias("k")).where("k is not null").limit(1).collect()
+    return sorted(r[0]["k"]) if r else []
+
+
+def language_sample(df: DataFrame, text: str, corrupt: str, wanted) -> tuple[DataFrame, dict[str, int]]:
+    """Rows that are objects, in the language, with a text; and how many were skipped for each reason."""
+    bad, w = F.col(corrupt).isNotNull(), F.coalesce(wanted, F.lit(False))
+    blank = F.coalesce(F.trim(text) == "", F.lit(True))
+    n = df.agg(F.count_if(bad).alias("no_object"), F.count_if(~bad & ~w).alias("language"), F.count_if(~bad & w & blank).alias("blank")).first()
+    return df.where(~bad & w & ~blank).drop(corrupt), n.asDict()

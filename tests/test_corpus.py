@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.operators import aggregating, conforming, integrity, ordering, partitioning, scoring, validating
+from quern.operators import aggregating, conforming, deduplicating, integrity, ordering, partitioning, scoring, validating
+from quern.sources import readers, writers
 
 
 def one(spark, value, f, kind="string"):
@@ -117,3 +120,102 @@ def test_tightening_and_verdicts(spark):
     assert sorted(tuple(r) for r in aggregating.tightening(g, "batch", 3).collect()) == [(0, 1, 2), (1, 2, 2), (2, 2, 2)]
     d = spark.range(2000).select(scoring.mock_verdict(F.col("id").cast("string"), F.lit(0.3), 1).alias("v"))
     assert 0.26 < d.agg(F.avg(F.col("v").cast("int"))).first()[0] < 0.34
+
+
+def texts(n=120, seed=4):
+    rng = random.Random(seed)
+    vocab = [f"{c}{i}{c}o" for c in "bcdđghklmn" for i in "aeiou"]
+    out = []
+    for i in range(n):
+        if out and rng.random() < 0.5:
+            w = rng.choice(out).split()
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            out.append(" ".join(w))
+        else:
+            out.append(" ".join(rng.choices(vocab, k=rng.randrange(20, 40))))
+    return out
+
+
+def test_text_cosine_pairs_against_all_pairs(spark):
+    rows = [*enumerate(texts()), (500, None), (501, ""), (502, "ab"), (503, texts()[0])]
+    d = spark.createDataFrame(rows, "i int, t string")
+    v = {i: deduplicating.gram_vector(t) for i, t in rows if t is not None}
+    want = {(a, b) for a in v for b in v if a < b and v[a] @ v[b] >= 0.9 - 1e-9}
+    first = {t: min(i for i, x in rows if x == t) for _, t in rows}
+    reps = {i for i, t in rows if t is not None and first[t] == i}
+    got = {(r["a"], r["b"]) for r in deduplicating.text_cosine_pairs(d, "i", "t", 0.9).collect()}
+    assert {(a, b) for a, b in want if a in reps} == {(a, b) for a, b in got if a in reps} and got <= want and len(want) > 20
+    left, right = d.where("i % 2 = 0"), d.where("i % 2 = 1")
+    hit = {r["i"] for r in deduplicating.remembered(left, right, "i", "t", 0.9).where("duplicate").collect()}
+    assert hit == {i for i in v if i % 2 == 0 and any(j % 2 == 1 and v[i] @ v[j] >= 0.9 - 1e-9 for j in v)}
+    assert deduplicating.text_cosine_pairs(d.limit(0), "i", "t", 0.9).count() == 0
+
+
+def test_replay_and_ablation_against_row_by_row(spark):
+    rows = list(enumerate(texts(80, 6)))
+    d = spark.createDataFrame(rows, "i int, t string")
+    kept, want = [], {}
+    for i, t in rows:
+        x = deduplicating.gram_vector(t)
+        want[i] = any(x @ y >= 0.92 - 1e-6 for y in kept)
+        if not want[i]:
+            kept.append(x)
+    flags = deduplicating.replayed(d, "i", "t", F.col("i"))
+    assert {r["i"]: r["duplicate"] for r in flags.collect()} == want and any(want.values())
+    rate = deduplicating.duplicate_rate(flags).first()
+    assert (rate["n"], rate["dups"], rate["rate"]) == (80, sum(want.values()), round(sum(want.values()) / 80, 4))
+    phrase = rows[0][1].split()[0]
+    got = {r["kept"]: (r["n"], r["distinct"]) for r in deduplicating.ablation(d, flags, "i", "t", [phrase], lambda t: text.ngrams(F.split(t, " "), 2)).collect()}
+
+    def distinct(ts):
+        g = [x for t in ts for x in zip(t.split(), t.split()[1:], strict=False)]
+        return round(len(set(g)) / len(g), 4)
+
+    memory = [t for i, t in rows if not want[i]]
+    clean = [t for t in memory if phrase not in t]
+    assert got == {k: (len(ts), distinct(ts)) for k, ts in (("none", [t for _, t in rows]), ("memory", memory), ("all", clean))}
+    none = {r["kept"]: r["n"] for r in deduplicating.ablation(d, flags, "i", "t", [""], lambda t: text.ngrams(F.split(t, " "), 2)).collect()}
+    assert none["all"] == none["memory"] == len(memory)
+
+
+def test_cascade_with_vectors_against_row_by_row(spark):
+    rows = [(i, t, i % 7 == 0) for i, t in enumerate(texts(90, 8))]
+    d = spark.createDataFrame(rows, "i int, t string, safe boolean")
+    got = {r["i"]: r["stage"] for r in deduplicating.cascade(d, "i", "t", F.sha2("t", 256), None, F.col("i"), F.col("safe"), cosine=0.8).collect()}
+    lanes = {r["i"]: r["l"] for r in d.select("i", deduplicating.minhash(F.col("t")).alias("l")).collect()}
+    seen, kept, want = set(), [], {}
+    for i, t, safe in rows:
+        if t in seen:
+            want[i] = "exact"
+            continue
+        seen.add(t)
+        n, v = len(t.split()), deduplicating.gram_vector(t)
+        near = any(sum(x == y for x, y in zip(lanes[i], lanes[j], strict=True)) >= 0.85 * 128 and m * 1.2 >= n and n * 1.2 >= m for j, m, _ in kept)
+        close = any(v @ w >= 0.8 - 1e-9 for _, _, w in kept)
+        want[i] = "kept" if safe or not (near or close) else "near" if near else "embedding"
+        if want[i] == "kept":
+            kept.append((i, n, v))
+    assert got == want and {"exact", "near", "embedding", "kept"} <= set(want.values())
+
+
+def test_settings_reports_and_backups(spark, tmp_path):
+    assert readers.settings("# x\nA=1\n\nexport B = 'two words'\nA=2\nnothing\n=3") == {"A": "1", "B": "two words"}
+    d = spark.createDataFrame([("a|b", 0.5), (None, None)], "name string, x double")
+    assert writers.markdown_table(d, "T") == "# T\n\n| name | x |\n|---|---|\n| a\\|b | 0.5 |\n| – | – |\n"
+    with pytest.raises(ValueError, match="no report"):
+        writers.markdown_table(spark.range(5), "T", 4)
+    p = str(tmp_path / "out")
+    assert writers.set_aside(spark, p, "1") is None
+    spark.range(2).write.json(p)
+    writers.rewrite(spark.range(3), p, "2")
+    assert spark.read.json(p).count() == 3 and spark.read.json(f"{p}.2").count() == 2
+    with pytest.raises(FileExistsError):
+        writers.set_aside(spark, p, "2")
+    assert readers.first_keys(spark, p) == ["id"]
+
+
+def test_language_sample_counts_what_it_skips(spark):
+    d = spark.createDataFrame([("a", "vi", None), (" ", "vi", None), ("b", "en", None), ("c", None, None), (None, None, "{")], "t string, g string, _c string")
+    kept, skipped = readers.language_sample(d, "t", "_c", F.col("g") == "vi")
+    assert [r["t"] for r in kept.collect()] == ["a"] and skipped == {"no_object": 1, "language": 2, "blank": 1}
