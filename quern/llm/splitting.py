@@ -24,14 +24,20 @@ def related_groups(rows: DataFrame, id: Column, keys: dict[str, Column]) -> Data
 
     Each key's group is a star around its least id, so that the graph has an
     edge only where a record joins two stars, and a hot key (a tenth of all
-    rows) is one node, combined before the shuffle. Null keys join nothing; a
+    rows) is one node, combined before the shuffle. Records of hot keys (more than
+    a thousandth of all records each, so fewer than a thousand) get their head by
+    broadcast, and those without a key by no join at all. Null keys join nothing; a
     record delivered again counts once; null ids give no row.
     """
     src = checkpoint(rows.select(id.cast("string").alias("id"), *(k.alias(n) for n, k in keys.items())).where("id is not null"))
-    heads = {n: src.where(F.col(n).isNotNull()).groupBy(n).agg(F.min("id").alias(f"{n}_head")) for n in keys}
-    out = src
-    for n, h in heads.items():
-        out = out.join(h, n, "left")
+    total, out = src.count(), src
+    for n in keys:
+        head = f"{n}_head"
+        h = checkpoint(src.where(F.col(n).isNotNull()).groupBy(n).agg(F.min("id").alias(head), F.count("*").alias("c")))
+        hot = h.where(F.col("c") * 1000 > total).select(n, F.col(head).alias("hot"))
+        j = out.join(F.broadcast(hot), n, "left")  # fewer than 1000 rows
+        cold = F.col(n).isNotNull() & F.col("hot").isNull()
+        out = j.where(~cold).withColumnRenamed("hot", head).unionByName(j.where(cold).drop("hot").join(h.select(n, head), n))
     many = checkpoint(out.select("id", F.array_distinct(F.array_compact(F.array(*(f"{n}_head" for n in keys)))).alias("heads")).distinct())
     edges = many.where(F.size("heads") > 1).select(F.get("heads", F.lit(0)).alias("a"), F.explode(F.slice("heads", 2, len(keys) + 1)).alias("b")).distinct()
     # deliveries of one record with different keys join their stars as well
