@@ -5,14 +5,16 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.forms import consistent
 from quern.llm.words import per_batch
+from quern.operators import ordering
 
 LANGUAGES = ("vi", "en", "fr", "es", "de")
 # Names of the languages in labels, beside their two letters.
@@ -165,24 +167,23 @@ def train(docs: DataFrame, text: Column, label: Column, *, per_language: int = 3
     anywhere; at most ``most_words`` words per language. Vietnamese words also
     stand without their marks.
     """
-    labels = docs.select(label.cast("string").alias("label")).distinct().toPandas()["label"].tolist()  # as many as spellings
-    by = defaultdict(list)
-    for x in labels:
-        if (g := label_language(x)) is not None:
-            by[g].append(x)
+
+    @F.pandas_udf("string")
+    def language(labels: pd.Series) -> pd.Series:
+        known = {x: label_language(x) for x in labels.unique()}
+        return labels.map(known.get)
+
+    src = docs.select(language(label.cast("string")).alias("g"), text.cast("string").alias("t")).where("g is not null and length(t) >= 40").withColumn("h", F.xxhash64("t"))
+    least = ordering.first_per(src.select("g", "h").distinct(), ["g"], [F.col("h")], per_language)  # copies of a text count once
+    sample = src.join(F.broadcast(least), ["g", "h"]).select("g", "h", "t").distinct().toPandas()  # five times per_language texts
     shares: dict[str, Counter] = {}
     for g in LANGUAGES:
-        if not by[g]:
-            continue
-        src = docs.where(label.isin(by[g])).select(text.cast("string").alias("t")).where("length(t) >= 40")
-        src = src.withColumn("h", F.xxhash64("t"))
-        least = src.select("h").distinct().orderBy("h").limit(per_language)  # copies of a text count once
-        sample = src.join(F.broadcast(least), "h").distinct().orderBy("h", "t").limit(per_language).toPandas()["t"].tolist()
+        own = sample[sample["g"] == g].sort_values(["h", "t"])["t"].head(per_language)
         df: Counter = Counter()
-        for t in sample:
+        for t in own:
             df.update(set(_LETTERS.findall(consistent(t).lower())))
-        if sample:
-            shares[g] = Counter({w: n / len(sample) for w, n in df.items()})
+        if len(own):
+            shares[g] = Counter({w: n / len(own) for w, n in df.items()})
     out = {}
     for g, c in shares.items():
         kept = [w for w, s in c.items() if s >= max(o[w] for o in shares.values()) / 3]
