@@ -266,13 +266,6 @@ def ablation(batch: DataFrame, flags: DataFrame, id: str, text: str, phrases: li
     return n.join(g, "kept", "left").select("kept", "n", F.coalesce("distinct", F.lit(0.0)).alias("distinct"))
 
 
-def sparse_pairs(vectors: DataFrame, id: str, vector: str, candidates: DataFrame, least: float) -> DataFrame:
-    """(a, b, cosine) of candidate pairs by their sparse maps of dimension to weight."""
-    w = vectors.select(F.col(id).alias("id"), F.explode(vector).alias("dim", "w"))
-    s = candidates.select("a", "b").distinct().join(w.select(F.col("id").alias("a"), "dim", F.col("w").alias("wa")), "a").join(w.select(F.col("id").alias("b"), "dim", F.col("w").alias("wb")), ["b", "dim"])
-    return s.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= least)
-
-
 def cascade(df: DataFrame, id: str, text: str, key: Column, structure: Sequence[Column] | None, position: Column, protected: Column, agree: float = 0.85, cosine: float | None = None) -> DataFrame:
     """(id, stage): why each row went - exact, structural, near, or with a ``cosine`` embedding - or kept. Cheapest stages first, each on the survivors of the one before; the last two are one greedy removal, and near comes first where both hold. ``position`` is unique and orders the rows. Texts are read again for the last stages in place of being stored."""
     made = [c.alias(f"__k{i}") for i, c in enumerate(structure or ())]

@@ -63,8 +63,10 @@ def name_containment(text: Column, drawn: Column, names: Sequence[str]) -> Colum
 def orientation_conflicts(draws: DataFrame, kb: DataFrame, text: str, least: int = 2) -> DataFrame:
     """Exploded draws (..., card_id, orientation) in the text of which a reversed card has at least so many of its upright keywords, of 4 letters or more. ``kb`` (card_id, orientation, keywords) has two rows a card."""
     up = kb.where("orientation = 'upright'").select("card_id", F.col("keywords").alias("__k"))
+    from quern.operators.conforming import small
+
     hits = let(F.lower(text), lambda low: F.filter(F.transform("__k", lambda k: F.trim(k)), lambda k: (F.length(k) >= 4) & F.contains(low, F.lower(k))))
-    return draws.where("orientation = 'reversed'").join(F.broadcast(up), "card_id").withColumn("hits", F.array_distinct(hits)).where(F.size("hits") >= least).drop("__k")
+    return draws.where("orientation = 'reversed'").join(small(up), "card_id").withColumn("hits", F.array_distinct(hits)).where(F.size("hits") >= least).drop("__k")
 
 
 def distinctive_keywords(kb: DataFrame, most_cards: int = 2, least_letters: int = 5) -> DataFrame:
@@ -75,13 +77,15 @@ def distinctive_keywords(kb: DataFrame, most_cards: int = 2, least_letters: int
 
 
 def keyword_collisions(texts: DataFrame, id: str, text: str, drawn: str, kb: DataFrame, least: int = 2, most_cards: int = 2) -> DataFrame:
-    """(id, card_id, hits): cards that weren't drawn and of which a text has several distinctive keywords. All keywords are looked for in one pass by a regular expression; the knowledge base is a fixed table."""
+    """(id, card_id, hits): cards that weren't drawn and of which a text has several distinctive keywords. Each keyword is looked for in each text: of a knowledge base of known size."""
+    from quern.operators.conforming import small
+
     words = distinctive_keywords(kb, most_cards)
     names = [r[0] for r in words.select("keyword").distinct().orderBy("keyword").collect()]
     if not names:
         return texts.select(id, F.lit(0).alias("card_id"), F.lit(0).alias("hits")).limit(0)
     t = texts.select(id, drawn, let(F.lower(text), lambda low: F.filter(F.lit(names), lambda k: F.contains(low, k))).alias("ks")).where(F.size("ks") >= least)
-    hit = t.select(id, drawn, F.explode("ks").alias("keyword")).join(F.broadcast(words), "keyword").where(~F.array_contains(drawn, F.col("card_id")))
+    hit = t.select(id, drawn, F.explode("ks").alias("keyword")).join(small(words), "keyword").where(~F.array_contains(drawn, F.col("card_id")))
     return hit.groupBy(id, "card_id").agg(F.count("*").alias("hits")).where(F.col("hits") >= least)
 
 

@@ -427,3 +427,109 @@ def ablation_report(spark, d):
     listed = aggregating.blacklist(a.select(F.explode(text.ngrams(text.tokens(F.col("t")), 4)).alias("gram")), ["xuôi", "ngược"])
     phrases = [r["gram"] for r in listed.select("gram").collect()]  # anchors are a fixed table
     return deduplicating.ablation(a, flags, "id", "t", phrases, grams)
+
+
+# --- summaries
+
+
+@query(f"select count(ifd_score) as n, min(ifd_score) as least, max(ifd_score) as most, round(avg(ifd_score), 6) as mean from {ONCE}")
+def score_summary(spark, d):
+    x = F.col("ifd_score")
+    return records(spark, d, "ifd_score").agg(F.count(x).alias("n"), F.min(x).alias("least"), F.max(x).alias("most"), F.round(F.avg(x), 6).alias("mean"))
+
+
+@query(f"""with w as (select example_id, r.ifd_score, regexp_extract_all(reading_vi, '[^ \\n\\r\\t]+') as w, reading_vi as t from {ONCE} r where reading_vi is not null and ifd_score is not null), f as (select example_id, ifd_score as i, ln(1 + len(w)) as a, len(list_distinct(w)) / greatest(1, len(w)) as b, len(regexp_extract_all(t, '[.!?…]')) + 1 as c from w),
+    z as (select example_id, {" + ".join(f"coalesce(({x} - avg({x}) over ()) / nullif(stddev_pop({x}) over (), 0), 0)" for x in "abc")} as s, coalesce((i - avg(i) over ()) / nullif(stddev_pop(i) over (), 0), 0) as zi from f) select example_id, round(0.5 * s + 0.5 * zi, 5) as score from z""")
+def composite_with_score(spark, d):
+    w = F.regexp_extract_all("reading_vi", F.lit(r"[^ \n\r\t]+"), F.lit(0))
+    r = records(spark, d, "reading_vi", "ifd_score").where("reading_vi is not null and ifd_score is not null")
+    t = r.select("example_id", F.log1p(F.size(w)).alias("a"), text.type_token_ratio(w).alias("b"), text.sentence_count(F.col("reading_vi")).cast("double").alias("c"), F.col("ifd_score").alias("i"))
+    m = F.broadcast(t.agg(*(f(x).alias(f"{n}{x}") for x in "abci" for n, f in (("m", F.avg), ("s", F.stddev_pop)))))  # one row
+    z = lambda x: F.coalesce((F.col(x) - F.col(f"m{x}")) / F.nullif(F.col(f"s{x}"), F.lit(0.0)), F.lit(0.0))
+    return t.crossJoin(m).select("example_id", F.round(0.5 * (z("a") + z("b") + z("c")) + 0.5 * z("i"), 5).alias("score"))
+
+
+@query("""with t as (select doc_id, text, length(text) as n, sum(length(text)) over (order by created_at, doc_id rows unbounded preceding) as running from documents where length(text) > 0) select doc_id, least(n, 200000 - (running - n))::int as chars, sha256(text[1:least(n, 200000 - (running - n))]) as digest from t where running - n < 200000""")
+def budget_texts(spark, d):
+    t = table(spark, d, "documents").where("length(text) > 0").select("doc_id", "created_at", F.length("text").cast("long").alias("n"))
+    cut = ordering.within_budget(t, [F.col("created_at"), F.col("doc_id")], "n", 200_000).select("doc_id", F.least("n", F.lit(200_000) - (F.col("running") - F.col("n"))).cast("int").alias("chars"))
+    return table(spark, d, "documents").select("doc_id", "text").join(cut, "doc_id").select("doc_id", "chars", F.sha2(F.substring("text", F.lit(1), F.col("chars")), 256).alias("digest"))
+
+
+@query("""with s as (select kind, text is not null as a, length(text) >= 250 as b, length(text) >= 250 and contains(text, '?') as c from documents) select coalesce(kind, 'none') as kind, count(*) as scanned, count(*) filter (a) as filled, count(*) filter (b) as long, count(*) filter (c) as asking, round(100 * count(*) filter (c) / count(*), 2) as percent from s group by 1""")
+def funnel_counts(spark, d):
+    n = F.length("text") >= 250
+    g = table(spark, d, "documents").groupBy(F.coalesce("kind", F.lit("none")).alias("kind"))
+    asking = F.count_if(n & F.contains("text", F.lit("?")))
+    return g.agg(F.count("*").alias("scanned"), F.count("text").alias("filled"), F.count_if(n).alias("long"), asking.alias("asking"), F.round(100 * asking / F.count("*"), 2).alias("percent"))
+
+
+_PAIRS = f"(select safety_category, matched_pair_id, matched_member, example_id, len(card_ids)::int as cards from {ONCE} where matched_pair_id is not null)"
+
+
+@query(f"select b.safety_category, b.matched_pair_id, b.example_id as benign, r.example_id as risk, b.cards = r.cards as same_size from {_PAIRS} b join {_PAIRS} r on b.safety_category = r.safety_category and b.matched_pair_id = r.matched_pair_id where b.matched_member = 'benign' and r.matched_member = 'risk'")
+def matched_members(spark, d):
+    r = records(spark, d, "safety_category", "matched_pair_id", "matched_member", "card_ids").where("matched_pair_id is not null")
+    side = lambda m: r.where(F.col("matched_member") == m).select("safety_category", "matched_pair_id", F.col("example_id").alias(m), F.size("card_ids").alias(f"{m}_n"))
+    return side("benign").join(side("risk"), ["safety_category", "matched_pair_id"]).select("safety_category", "matched_pair_id", "benign", "risk", (F.nullif("benign_n", F.lit(-1)) == F.nullif("risk_n", F.lit(-1))).alias("same_size"))
+
+
+@query("""with r as (select n_name as artifact, sha256(n_name) as digest from nation where n_nationkey < 20), c as (select n_name as artifact, sha256(case when n_nationkey % 5 = 0 then 'changed' else n_name end) as digest from nation where n_nationkey >= 3) select coalesce(r.artifact, c.artifact) as artifact, case when r.digest is null then 'unrecorded' when c.digest is null then 'missing' when r.digest = c.digest then 'match' else 'drift' end as state from r full join c on r.artifact = c.artifact""")
+def digest_drift(spark, d):
+    n = table(spark, d, "nation")
+    r = n.where("n_nationkey < 20").select(F.col("n_name").alias("artifact"), F.sha2("n_name", 256).alias("digest"))
+    c = n.where("n_nationkey >= 3").select(F.col("n_name").alias("artifact"), F.sha2(F.when(F.col("n_nationkey") % 5 == 0, "changed").otherwise(F.col("n_name")), 256).alias("digest"))
+    return integrity.check_digests(r, c).select("artifact", "state")
+
+
+@query("""with s as (select n_chars as v, row_number() over (order by n_chars) as r, count(*) over () as n from documents where n_chars > 0), m as (select v as median from s where r = least(n, floor(0.5 * n)::bigint + 1)) select case when v <= median then 'short' else 'long' end as band, count(*) as n, round(count(*) / (select count(*) from s), 4) as share from s, m group by 1""")
+def length_bands(spark, d):
+    t = table(spark, d, "documents").where("n_chars > 0").select("n_chars")
+    m = F.broadcast(ordering.percentiles(t, "n_chars", [0.5]).select(F.col("value").alias("median")))  # one row
+    g = t.crossJoin(m).groupBy(F.when(F.col("n_chars") <= F.col("median"), "short").otherwise("long").alias("band")).agg(F.count("*").alias("n"))
+    return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("all")))).select("band", "n", F.round(F.col("n") / F.col("all"), 4).alias("share"))
+
+
+@query(f"""with r as (select cards_used from {ONCE} where len(cards_used) > 0), u as (select unnest(cards_used) as c from r) select c.card_id as card_id, round(count(*) / (select count(*) from r), 4) as per_reading, round(count(*) filter (c.orientation = 'reversed') / count(*), 4) as reversed_share from u where c.card_id is not null group by 1
+    union all select -1, round((select avg(len(cards_used)) from r), 4), round(count(*) filter (c.orientation = 'reversed') / count(*), 4) from u""")
+def card_rates(spark, d):
+    r = records(spark, d, "cards_used").where("size(cards_used) > 0")
+    u = r.select(F.explode("cards_used").alias("c")).select("c.card_id", "c.orientation")
+    g = u.groupBy("card_id").agg(F.count("*").alias("n"), F.count_if(F.col("orientation") == "reversed").alias("k"))
+    all_ = F.broadcast(r.agg(F.count("*").alias("readings")))  # one row
+    one = g.where("card_id is not null").unionByName(g.agg(F.lit(-1).alias("card_id"), F.sum("n").alias("n"), F.sum("k").alias("k")))
+    return one.crossJoin(all_).select("card_id", F.round(F.col("n") / F.col("readings"), 4).alias("per_reading"), F.round(F.col("k") / F.col("n"), 4).alias("reversed_share"))
+
+
+@query(f"with p as ({ORACLES['polarity_attribution']}) select attribution, count(*) as n, round(avg(score), 6) as score, count(*) > 0.5 * (select count(*) from p) as dominant from p group by 1")
+def attribution_summary(spark, d):
+    p = table(spark, d, "documents").where("text is not null").select(text.polarity(F.col("text")).alias("p")).select("p.attribution", F.round("p.score", 6).alias("s"))
+    g = p.groupBy("attribution").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("score"))
+    return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("all")))).select("attribution", "n", "score", (F.col("n") > 0.5 * F.col("all")).alias("dominant"))
+
+
+@query(f"""with p as ({ORACLES["profile_distance"]}), q as (select max(distance) filter (r = least(n, floor(0.9 * n)::bigint + 1)) as p90 from (select distance, row_number() over (order by distance) as r, count(*) over () as n from p)), a as (select anchor_id, {{T}} as t from anchor_readings where prose_vi is not null)
+    select anchor_id, coalesce(distance <= p90, false) and case when len(t) > 0 then len(list_filter(t, lambda x: regexp_matches(x, '(?i)[{text.MARKED}]'))) / len(t) else 0 end >= 0.5 as vietnamese from a left join p using (anchor_id), q""".replace("{T}", f"regexp_extract_all(prose_vi, '(?i){text.TOKEN}')"))
+def vietnamese_gate(spark, d):
+    from quern.plans.contract import profile_distance
+
+    p = checkpoint(profile_distance(spark, d))
+    p90 = F.broadcast(ordering.percentiles(p, "distance", [0.9]).select(F.col("value").alias("p90")))  # one row
+    a = table(spark, d, "anchor_readings").where("prose_vi is not null").select("anchor_id", "prose_vi").join(p, "anchor_id", "left").crossJoin(p90)
+    return a.select("anchor_id", (F.coalesce(F.col("distance") <= F.col("p90"), F.lit(False)) & (text.diacritic_ratio(F.col("prose_vi")) >= 0.5)).alias("vietnamese"))
+
+
+@query(f"with p as (select jaccard, row_number() over (order by jaccard) as r, count(*) over () as n from ({ORACLES['pair_self_join_jaccard']})) select coalesce(round(max(jaccard) filter (r = least(n, floor(0.9 * n)::bigint + 1)), 9), 0.55) as threshold from p")
+def drift_threshold(spark, d):
+    from quern.plans.contract import pair_self_join_jaccard
+
+    p = ordering.percentiles(pair_self_join_jaccard(spark, d), "jaccard", [0.9])
+    return p.agg(F.coalesce(F.round(F.max("value"), 9), F.lit(0.55)).alias("threshold"))
+
+
+@query("""select o_orderkey, case when o_orderstatus = 'F' then 'completed' when o_orderstatus = 'P' then 'failed' when date_diff('second', o_orderdate::timestamp, timestamp '1998-01-01') > 31536000 then 'timed_out' when o_orderkey % 2 = 0 then 'orphaned' else 'running' end as state from orders""")
+def run_states(spark, d):
+    from quern.operators.scheduling import run_state
+
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "P", "failed").otherwise("running")
+    return table(spark, d, "orders").select("o_orderkey", run_state(status, F.col("o_orderdate").cast("timestamp"), F.lit("1998-01-01").cast("timestamp"), 31_536_000, F.col("o_orderkey") % 2 == 1).alias("state"))
