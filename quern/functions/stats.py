@@ -6,7 +6,6 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 Z = 1.96
 
@@ -39,12 +38,6 @@ def percentile_rank(p: float, n: Column) -> Column:
     return F.least(n, F.floor(F.lit(p) * n) + 1)
 
 
-def z_score(x: Column) -> Column:
-    """Against the whole table, population deviation; 0 where nothing varies."""
-    w = Window.partitionBy()
-    return F.coalesce((x - F.avg(x).over(w)) / F.nullif(F.stddev_pop(x).over(w), F.lit(0.0)), F.lit(0.0))
-
-
 def keep_count(n: int, fraction: float) -> int:
     """max(1, n * fraction rounded half to even)."""
     return max(1, round(n * fraction)) if n else 0
