@@ -93,6 +93,24 @@ def test_overlap_without_a_long_common_run(spark, step):
     assert [(r["train_id"], r["eval_id"]) for r in got] == [("a", "b")]
 
 
+@pytest.mark.parametrize("step", [10, 12, 15])
+def test_evenly_inserted_words(spark, step):
+    a = [f"chữ{i}" for i in range(300)]
+    b = [w for i, x in enumerate(a) for w in ([x, f"thêm{i}"] if i % step == step - 1 else [x])]
+    pair = [("a", " ".join(a)), ("b", " ".join(b))]
+    assert 0.6 <= like(pair[0][1], pair[1][1]) < 0.76
+    assert neardup.near_links(frame(spark, pair), F.col("rid"), F.col("body"))[1].count() == 1
+    label = spark.createDataFrame([("a", "val"), ("b", "train")], "id string, split string")
+    assert [r["train_id"] for r in overlap.cross_split_pairs(frame(spark, pair), F.col("rid"), F.col("body"), label).collect()] == ["b"]
+
+
+def test_classes_never_change_the_links(spark, rows, monkeypatch):
+    a = neardup.near_links(frame(spark, rows), F.col("rid"), F.col("body"))[1].select("a", "b").collect()
+    monkeypatch.setattr(neardup, "COUNTED", 1)
+    monkeypatch.setattr(neardup, "FOLLOWS", 0.0)  # long chains
+    assert sorted(a) == sorted(neardup.near_links(frame(spark, rows), F.col("rid"), F.col("body"))[1].select("a", "b").collect())
+
+
 def test_tiles_in_blocks_find_the_same(spark, rows):
     a = neardup.near_links(frame(spark, rows), F.col("rid"), F.col("body"))[1].select("a", "b").collect()
     b = neardup.near_links(frame(spark, rows), F.col("rid"), F.col("body"), block=2)[1].select("a", "b").collect()
