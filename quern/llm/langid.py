@@ -95,15 +95,18 @@ class LanguageModel:
     """Automata of the languages, and per word its phrases in each.
 
     Phrases don't cross a word's end, so a word's counts are computed once and
-    a text's are sums. They are normalised by the fewest any text of its words
-    could have, one a word.
+    a text's are sums. A phrase costs the logarithm of the size of the language's
+    text, as a place in it has to be named; costs are in units of the largest one.
     """
 
     def __init__(self, vocabulary: dict[str, list[str]], names: list[str] | None = None):
         """names: proper names, which have no language, wherever they stand."""
         longest = sorted({" ".join(_LETTERS.findall(consistent(n).lower())) for n in names or () if n} - {""}, key=lambda n: (-len(n), n))
         self.names = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, longest)) + r")(?!\w)") if longest else None
-        self.auto = {g: SuffixAutomaton(" " + " ".join(vocabulary.get(g, [])) + " ") for g in LANGUAGES}
+        held = {g: " " + " ".join(vocabulary.get(g, [])) + " " for g in LANGUAGES}
+        self.auto = {g: SuffixAutomaton(t) for g, t in held.items()}
+        bits = [math.log2(len(t) + 1) for t in held.values()]
+        self.cost = [b / max(bits) if vocabulary.get(g) else 1.0 for g, b in zip(LANGUAGES, bits, strict=True)]
         self.seen: dict[str, tuple[int, ...]] = {}
 
     def word(self, w: str) -> tuple[int, ...]:
@@ -113,15 +116,15 @@ class LanguageModel:
             self.seen[w] = n = tuple(self.auto[g].phrases(f" {w} ") for g in LANGUAGES)
         return n
 
-    def score(self, words: list[str]) -> list[int]:
-        return [sum(x) for x in zip(*map(self.word, words), strict=True)] if words else [0] * len(LANGUAGES)
+    def score(self, words: list[str]) -> list[float]:
+        return [sum(x) * c for x, c in zip(zip(*map(self.word, words), strict=True), self.cost, strict=True)] if words else [0.0] * len(LANGUAGES)
 
     def words(self, text: str) -> list[str]:
         low = consistent(text).lower()
         return _LETTERS.findall(self.names.sub(" ", low) if self.names else low)
 
     @staticmethod
-    def decide(score: list[int], words: int) -> tuple[str | None, float]:
+    def decide(score: list[float], words: int) -> tuple[str | None, float]:
         """(language with the fewest phrases, confidence); no language where the next one has hardly more."""
         order = sorted(range(len(score)), key=score.__getitem__)
         best, second = score[order[0]], score[order[1]]
