@@ -31,3 +31,14 @@ def hash_to_min(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
             return c.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
         seen = tuple(now)
     raise RuntimeError(f"no fixed point after {most} rounds")
+
+
+def joined(rows: DataFrame, facts: DataFrame, key: str, hot: int = 1000) -> DataFrame:
+    """Inner join of rows with a table of at most one row per key. Keys with more than 1/``hot`` of all rows, so fewer than ``hot``, are joined by broadcast: their rows aren't brought to one task. Null keys join nothing. ``rows`` is read three times; it should be stored."""
+    total = rows.count()
+    many = checkpoint(rows.groupBy(key).agg(F.count("*").alias("__c")).where((F.col("__c") * hot > total) & F.col(key).isNotNull()).select(key))
+    mark = F.broadcast(many.withColumn("__hot", F.lit(True)))  # fewer than ``hot`` rows
+    marked = rows.join(mark, key, "left")
+    warm = F.broadcast(facts.join(F.broadcast(many), key, "left_semi"))
+    names = [*rows.columns, *(c for c in facts.columns if c != key)]
+    return marked.where("__hot").join(warm, key).select(names).unionByName(marked.where("__hot is null").join(facts, key).select(names))
