@@ -51,3 +51,9 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in entry.oracle_sql()))
 def test_other_queries_run(spark, name):
     entry.queries()[name](spark, str(DATA)).write.format("noop").mode("overwrite").save()
+
+
+def test_filters_reach_the_scan(spark):
+    plan = entry.queries()["rows_filter_page"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    pushed = [line for line in plan.splitlines() if "PushedFilters" in line]
+    assert pushed and all("EqualTo(register,warm)" in line for line in pushed)
