@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,6 +201,41 @@ def test_cascade_with_vectors_against_row_by_row(spark):
     assert got == want and {"exact", "near", "embedding", "kept"} <= set(want.values())
 
 
+def test_no_wide_row_is_joined_to_pairs_that_are_not_alike(spark):
+    """Texts of one vocabulary meet in most bands of few lanes; sketches leave about the pairs that are alike."""
+    rng = random.Random(3)
+    phrases = ["".join(rng.choices("abcdefghij ", k=40)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(phrases, k=12))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " and a few more words") for i in range(40)]
+    d = spark.createDataFrame(rows, "i int, t string")
+    t = [x for _, x in rows]
+    axes = deduplicating._axes(deduplicating.gram_matrix(t).T @ (deduplicating.gram_matrix(t) @ deduplicating._directions(deduplicating.SKETCH)))
+    v = (deduplicating.gram_matrix(t) @ axes).astype(np.float16)
+    out = deduplicating.sketch_tile(pa.table({"node": list(range(len(t))), "side": pa.array([3] * len(t), pa.int32()), "v": pa.array([x.tobytes() for x in v], pa.binary())}), 0.92)
+    met = set(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True))
+    g = deduplicating.gram_matrix(t)
+    want = {(a, b) for a in range(len(t)) for b in range(a + 1, len(t)) if g[a] @ g[b] >= 0.92}
+    assert want <= met and 40 <= len(want) and len(met) < 2 * len(want)
+    got = {(r["a"], r["b"]) for r in deduplicating.text_cosine_pairs(d, "i", "t", 0.92).collect()}
+    assert got == {(rows[a][0], rows[b][0]) for a, b in want}
+
+
+def test_a_repeated_text_is_alike_at_any_length(spark):
+    """The cosine doesn't depend on the length, so no window of sizes may."""
+    t = "một hai ba bốn năm sáu bảy tám chín mười "
+    d = spark.createDataFrame([(1, t * 2), (2, t * 9), (3, "khác hẳn")], "i int, t string")
+    assert [(r["a"], r["b"]) for r in deduplicating.text_cosine_pairs(d, "i", "t", 0.92).collect()] == [(1, 2)]
+
+
+def test_remembered_few_and_many_find_the_same(spark):
+    rows = list(enumerate(texts()))
+    left, right = (spark.createDataFrame([r for r in rows if r[0] % 2 == k], "i int, t string") for k in (0, 1))
+    few, many = ({tuple(r) for r in deduplicating.text_cosine_pairs(left, "i", "t", 0.9, right, few=n).collect()} for n in (2048, 1))
+    assert few == many and few
+    plan = deduplicating.text_cosine_pairs(left, "i", "t", 0.9, right)._jdf.queryExecution().toString()
+    assert "array<long>" not in plan and "lanes" not in plan
+
+
 def test_settings_reports_and_backups(spark, tmp_path):
     assert readers.settings("# x\nA=1\n\nexport B = 'two words'\nA=2\nnothing\n=3") == {"A": "1", "B": "two words"}
     d = spark.createDataFrame([("a|b", 0.5), (None, None)], "name string, x double")
