@@ -186,6 +186,23 @@ def test_minhash_cascade_against_all_pairs(spark):
     assert got == want and "near" in want.values()
 
 
+def test_lane_bands_miss_no_pair_and_hold_no_lanes(spark):
+    """One band more than lanes may differ, so one is the same; a row to be shuffled has keys and one bit of each lane."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(30):
+        w = [f"word{rng.randrange(300)}" for _ in range(80)]
+        rows += [(2 * i, " ".join(w), 80), (2 * i + 1, " ".join(w[:-2] + ["x", "y"]), 80)]
+    d = spark.createDataFrame(rows, "id int, t string, n int")
+    made = {r["id"]: r for r in deduplicating.lane_features(d, "id", "t", "n", 0.85).collect()}
+    lanes = deduplicating.minhash_lanes([t for _, t, _ in rows], 128, 5, 7)
+    alike = [(a, b) for a in range(60) for b in range(a) if (lanes[a] == lanes[b]).sum() >= 109]
+    assert len(alike) >= 20 and all(any(x == y for x, y in zip(made[a]["bands"], made[b]["bands"], strict=True)) for a, b in alike)
+    assert max(len(r["bands"]) for r in made.values()) == 20 and set(made[0].asDict()) == {"id", "node", "words", "s0", "s1", "bands"}
+    got = {(r["a"], r["b"]) for r in deduplicating.banded_pairs(d, "id", "t", "n", d.select("id")).collect()}
+    assert got == {(b, a) for a, b in alike}
+
+
 def test_blacklist_and_distinct(spark):
     g = spark.createDataFrame([("a b",)] * 10 + [("c d",)] * 6 + [("e f",)] * 5 + [("k z",)] * 9, "gram string")
     assert sorted(r["gram"] for r in aggregating.blacklist(g, ["k"]).collect()) == ["a b", "c d"]
