@@ -31,8 +31,8 @@ SIG = [f"s{i}" for i in range(BITS // 64)]
 SIG_SCHEMA = ", ".join(f"{s} long" for s in SIG)
 #: Prefix classes of a group, about, and the fewest groups; rows of a block of comparisons; nodes up to which those of a class are compared offset by offset, many classes at once.
 GROUP, GROUPS, ROWS, FEW = 1_200_000, 16, 64, 16
-#: log2 of the places that shingles are counted in, one in how many rows is counted, and in how many of its occurrences a shingle follows another of its class. They only change classes and their order, never what is found.
-COUNTERS, COUNTED, FOLLOWS = 20, 8, 0.7
+#: log2 of the places that shingles are counted in, one in how many rows is counted (all), and in how many of its occurrences a shingle follows another of its class. They only change classes and their order, never what is found.
+COUNTERS, COUNTED, FOLLOWS = 20, 1, 0.7
 
 
 def chains(places: np.ndarray, follower: np.ndarray, size: int) -> np.ndarray:
@@ -61,7 +61,7 @@ def classes(rows: DataFrame, shingle: int):
             pair, n = np.unique(at << 32 | after + 1, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair >> 32), pa.array((pair & 0xFFFFFFFF) - 1), pa.array(n)], ["w", "after", "c"])
 
-    counted = rows.where(F.pmod(F.xxhash64("id"), F.lit(COUNTED)) == 0).mapInArrow(f, "w long, after long, c long")
+    counted = rows.mapInArrow(f, "w long, after long, c long")
     t = counted.groupBy("w", "after").agg(F.sum("c").alias("c")).groupBy("w").agg(F.sum("c").alias("n"), F.max(F.struct("c", "after")).alias("x")).select("w", "n", "x.c", "x.after").toArrow()
     w, n, c, after = (t.column(k).to_numpy() for k in ("w", "n", "c", "after"))
     count = np.zeros(size, np.int64)

@@ -117,6 +117,17 @@ def test_tiles_in_blocks_find_the_same(spark, rows):
     assert sorted(a) == sorted(b)
 
 
+def test_all_rows_are_counted(spark):
+    """Each shingle occurs in one text only; the classes of every text are learnt."""
+    rows = [(f"r{i}", " ".join(f"w{i}x{j}" for j in range(12))) for i in range(40)]
+    src = frame(spark, rows * 2).select(F.col("rid").alias("id"), F.lit(None).cast("string").alias("lead"), F.col("body").alias("text"))
+    table = neardup.classes(src, 3).value
+    for _, t in rows:
+        _, h = neardup.Batch([t.split()]).shingles(3)
+        of = table[(h & np.uint64(len(table) - 1)).astype(np.int64)]
+        assert len(set(of.tolist())) < 5
+
+
 def test_groups(spark, rows):
     up = {i: i for i, t in rows if i}
 
