@@ -18,6 +18,8 @@ intersection of the sorted shingle arrays. Links are then joined into groups.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,8 +31,8 @@ from quern.plans.lineage import checkpoint, stored
 
 SIG = [f"s{i}" for i in range(BITS // 64)]
 SIG_SCHEMA = ", ".join(f"{s} long" for s in SIG)
-#: Prefix classes of a group, about, and the fewest groups; rows of a block of comparisons; nodes up to which those of a class are compared offset by offset, many classes at once.
-GROUP, GROUPS, ROWS, FEW = 1_200_000, 16, 64, 16
+#: Prefix classes of a group, about, and the fewest groups; prefix classes that are shuffled at a time; rows of a block of comparisons; nodes up to which those of a class are compared offset by offset, many classes at once.
+GROUP, GROUPS, ROUND, ROWS, FEW = 600_000, 16, 100_000_000, 64, 16
 #: log2 of the places that shingles are counted in, one in how many rows is counted (all), and in how many of its occurrences a shingle follows another of its class. They only change classes and their order, never what is found.
 COUNTERS, COUNTED, FOLLOWS = 20, 1, 0.7
 
@@ -215,14 +217,17 @@ def bounded_pairs(t: pa.Table, threshold: float) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def grouped(nodes: DataFrame, groups: int) -> DataFrame:
-    """(key, node, n, side, s0.., keys, at): nodes (node, n, side, s0.., keys, at) once for each group of classes, with those of the prefix that are in it."""
+def grouped(nodes: DataFrame, groups: int, rounds: int = 1, turn: int = 0) -> DataFrame:
+    """(key, node, n, side, s0.., keys, at): nodes (node, n, side, s0.., keys, at) once for each group of classes whose turn it is, with those of the prefix that are in it."""
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
         p, q = (b.column(b.schema.get_field_index(c)) for c in ("keys", "at"))
         key, at = p.flatten().to_numpy(), q.flatten().to_numpy()
         row = np.repeat(np.arange(b.num_rows), np.diff(p.offsets.to_numpy()))
         group = (key.view(np.uint32).astype(np.uint64) * np.uint64(0x9E3779B1) % np.uint64(2**32) * np.uint64(groups) >> np.uint64(32)).astype(np.int32)
+        if rounds > 1:
+            now = group % rounds == turn
+            key, row, at, group = key[now], row[now], at[now], group[now]
         o = np.lexsort((group, row))
         key, row, at, group = key[o], row[o], at[o], group[o]
         if not len(key):
@@ -251,16 +256,30 @@ def group_sizes(nodes: DataFrame, groups: int) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Pairs (a, b), a < b, that hold all pairs of nodes (node, n, side, s0.., keys, at) of different words whose likeness reaches the threshold; one has side 1 or 3, the other 2 or 3. A group with more nodes than a block gets a tile for each pair of blocks, so that no task holds an unbounded group."""
+    """Pairs (a, b), a < b, that hold all pairs of nodes (node, n, side, s0.., keys, at) of different words whose likeness reaches the threshold; one has side 1 or 3, the other 2 or 3. A group with more nodes than a block gets a tile for each pair of blocks, so that no task holds an unbounded group. Groups are far smaller than a block, so that only those of a hot class do: each block more is another copy of the nodes. Many groups take turns, so that the shuffle of one turn, not of all, is on disk."""
     nodes = stored(nodes)
     posts = nodes.agg(F.sum(F.size("keys"))).first()[0] or 0
     groups = max(GROUPS, -(-posts // GROUP))
     nb = F.ceil(F.col("df") / block).cast("int")
-    p = grouped(nodes, groups).join(F.broadcast(checkpoint(group_sizes(nodes, groups))), "key").withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    p = p.withColumn("other", F.explode(F.when(F.col("nb") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))))
-    p = p.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "n", "side", *SIG, "keys", "at")
-    p = p.repartition(4 * groups, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return p.mapInArrow(by_runs(lambda t: bounded_tiles(t, threshold), ["key", "bi", "bj"]), "a long, b long").distinct()
+    sizes = checkpoint(group_sizes(nodes, groups))
+    rounds = min(max(-(-posts // ROUND), 1), groups)
+
+    def pairs(turn: int) -> DataFrame:
+        p = grouped(nodes, groups, rounds, turn).join(F.broadcast(sizes), "key").withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+        p = p.withColumn("other", F.explode(F.when(F.col("nb") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))))
+        p = p.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "n", "side", *SIG, "keys", "at")
+        p = p.repartition(4 * -(-groups // rounds), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+        return p.mapInArrow(by_runs(lambda t: bounded_tiles(t, threshold), ["key", "bi", "bj"]), "a long, b long").distinct()
+
+    if rounds == 1:
+        return pairs(0)
+    done = None
+    for turn in range(rounds):
+        new = checkpoint(pairs(turn))
+        done = new if done is None else done.unionByName(new)
+        gc.collect()  # nothing refers to the shuffle of this round now; Spark deletes its files when the driver's JVM collects garbage
+        nodes.sparkSession._jvm.System.gc()
+    return done.distinct()
 
 
 def bounded_tiles(t: pa.Table, threshold: float) -> pa.RecordBatch | None:
@@ -299,7 +318,7 @@ def exact_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: flo
     return both.select("a", "b", "wa", "wb").mapInArrow(per_batch(f), "a long, b long, likeness double").dropDuplicates(["a", "b"])
 
 
-def near_links(rows: DataFrame, id: Column, text: Column, lead: Column | None = None, *, threshold: float = 0.6, shingle: int = 3, least_words: int = 30, block: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
+def near_links(rows: DataFrame, id: Column, text: Column, lead: Column | None = None, *, threshold: float = 0.6, shingle: int = 3, least_words: int = 30, block: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(members, links): members has (id, node), a node for all rows with the same words; links has (a, b, likeness), the pairs of nodes whose likeness reaches the threshold.
 
     All such pairs are found, at any text size and wherever the edits are. No cap

@@ -117,6 +117,13 @@ def test_tiles_in_blocks_find_the_same(spark, rows):
     assert sorted(a) == sorted(b)
 
 
+def test_groups_in_turns_find_the_same(spark, rows, monkeypatch):
+    a = neardup.near_links(frame(spark, rows), F.col("rid"), F.col("body"))[1].select("a", "b").collect()
+    monkeypatch.setattr(neardup, "ROUND", 1000)
+    b = neardup.near_links(frame(spark, rows), F.col("rid"), F.col("body"))[1].select("a", "b").collect()
+    assert sorted(a) == sorted(b)
+
+
 def test_all_rows_are_counted(spark):
     """Each shingle occurs in one text only; the classes of every text are learnt."""
     rows = [(f"r{i}", " ".join(f"w{i}x{j}" for j in range(12))) for i in range(40)]
