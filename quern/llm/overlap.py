@@ -70,7 +70,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float,
     return both.select("e", "t", "we", "wt").mapInArrow(per_batch(f, 500), "e long, t long, likeness double, edit_distance int").dropDuplicates(["e", "t"])
 
 
-def cross_split_pairs(rows: DataFrame, id: Column, text: Column, splits: DataFrame, *, train: str = "train", threshold: float = 0.6, shingle: int = 3, least_words: int = 30, band: int | None = None, block: int = 1 << 18) -> DataFrame:
+def cross_split_pairs(rows: DataFrame, id: Column, text: Column, splits: DataFrame, *, train: str = "train", threshold: float = 0.6, shingle: int = 3, least_words: int = 30, band: int | None = None, block: int = 1 << 20) -> DataFrame:
     """Pairs (train_id, eval_id, split, likeness, edit_distance) of a train and an evaluation record alike.
 
     ``splits`` has (id, split), split already one of the labels; an id with

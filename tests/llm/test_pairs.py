@@ -124,6 +124,11 @@ def test_groups_in_turns_find_the_same(spark, rows, monkeypatch):
     assert sorted(a) == sorted(b)
 
 
+def test_a_group_of_classes_fits_a_block():
+    """Where it doesn't, its nodes are sent once for each block."""
+    assert "block" in neardup.candidates.__code__.co_varnames and 1.3 * neardup.GROUP < neardup.near_links.__kwdefaults__["block"] == overlap.cross_split_pairs.__kwdefaults__["block"]
+
+
 def test_all_rows_are_counted(spark):
     """Each shingle occurs in one text only; the classes of every text are learnt."""
     rows = [(f"r{i}", " ".join(f"w{i}x{j}" for j in range(12))) for i in range(40)]
