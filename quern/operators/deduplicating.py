@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from quern.functions.stats import lane_coefficients
 from quern.functions.text import let
 from quern.operators.batches import among, bitmap, by_runs, per_batch, sliced
-from quern.plans.lineage import checkpoint, stored
+from quern.plans.lineage import checkpoint, freed, stored
 
 PRIME = (1 << 31) - 1
 
@@ -184,11 +184,13 @@ def banded_pairs(df: DataFrame, id: str, text: str, words: str, within: DataFram
     Rows with the same lanes are one node, with their least id, see ``with_copies``. So few lanes
     may differ that, with one band more than that, a band is the same: no pair is
     missed. Within a band rows are sorted by size and compared by one bit of
-    each lane; only what remains is made anew from the texts and compared by lane.
+    each lane; only what remains is made anew from the texts and compared by lane, once.
+    Shuffle files of a step are freed before the next.
     """
     k = 128
-    made = stored(lane_features(df, id, text, words, agree, k))
     spark = df.sparkSession
+    freed(spark)
+    made = stored(lane_features(df, id, text, words, agree, k))
     ids = within.select(F.col(within.columns[0]).alias("id"))
     one = checkpoint(made.select("id", "node", "words").join(ids, "id", "left_semi"))
     first = checkpoint(one.groupBy("node", "words").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"))
@@ -206,7 +208,9 @@ def banded_pairs(df: DataFrame, id: str, text: str, words: str, within: DataFram
     differ = k - math.ceil(agree * k - 1e-9)
     pair = T.StructType([T.StructField(c, kind.dataType) for c in "ab"])
     met = posts.repartition("key").sortWithinPartitions("key").mapInArrow(by_runs(lambda t: band_pairs(t, differ, window), ["key"]), pair)
+    freed(spark)
     pairs = checkpoint(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    freed(spark)
     held = bitmap(spark, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().select(F.xxhash64("id").alias("h")))
 
     def wanted(b: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -225,7 +229,9 @@ def banded_pairs(df: DataFrame, id: str, text: str, words: str, within: DataFram
         return pd.Series((np.stack(x.to_numpy()) == np.stack(y.to_numpy())).mean(axis=1) >= agree - 1e-12)
 
     la, lb = lanes.toDF("a", "la"), lanes.toDF("b", "lb")
-    return with_copies(pairs.join(la, "a").join(lb, "b").where(alike("la", "lb")).select("a", "b"), copies)
+    found = checkpoint(pairs.join(la, "a").join(lb, "b").where(alike("la", "lb")).select("a", "b"))  # stands three times in what follows
+    freed(spark)
+    return with_copies(found, copies)
 
 
 def with_copies(found: DataFrame, copies: DataFrame) -> DataFrame:
@@ -539,6 +545,7 @@ def cascade(df: DataFrame, id: str, text: str, key: Column, structure: Sequence[
     d = checkpoint(df.select(F.col(id), *made, position.alias("__pos"), key.alias("__key"), F.coalesce(protected, F.lit(False)).alias("__safe")))
     a = exact(d, F.col("__key"), F.col("__pos"))
     b = checkpoint(structural(a, [F.col(f"__k{i}") for i in range(len(made))], F.col("__pos"), F.col("__safe")) if structure else a)
+    a = a if structure else b
     t = df.select(position.alias("__pos"), F.col(text).alias("__t")).where("__t is not null")
     near = banded_pairs(t.withColumn("__words", F.size(F.filter(F.split("__t", r"(?U)\s+"), lambda w: w != ""))), "__pos", "__t", "__words", b.select("__pos"), agree=agree)
     pairs = near

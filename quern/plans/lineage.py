@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,3 +32,11 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def freed(spark: SparkSession) -> None:
+    """Drops shuffle files that nothing refers to any more. Spark deletes them only when the driver's JVM collects garbage, so that those of all steps before would be on disk at once."""
+    for _ in range(2):  # Python tells the JVM of its own garbage a little later
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()

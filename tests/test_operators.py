@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,6 +204,34 @@ def test_lane_bands_miss_no_pair_and_hold_no_lanes(spark):
     assert got == {(b, a) for a, b in alike}
 
 
+def test_lanes_are_compared_once_and_shuffle_files_freed(spark):
+    """The comparison of lanes stood three times in the plan, and the shuffle files of all steps were on disk at once."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(200):
+        w = [f"word{rng.randrange(300)}" for _ in range(80)]
+        rows += [(2 * i, " ".join(w), 80), (2 * i + 1, " ".join(w[:-1] + ["x"]), 80)]
+    d = spark.createDataFrame(rows, "id int, t string, n int")
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def held():
+        files = disk.getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size()))
+
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # files are deleted by a thread of their own
+    before = held()
+    got = deduplicating.banded_pairs(d, "id", "t", "n", d.select("id"))
+    until = time.time() + 10
+    while held() > before and time.time() < until:
+        time.sleep(0.2)
+    assert held() <= before
+    assert "alike" not in got._jdf.queryExecution().toString()
+    lanes = deduplicating.minhash_lanes([t for _, t, _ in rows], 128, 5, 7)
+    want = {(a, b) for b in range(400) for a in range(b) if (lanes[a] == lanes[b]).sum() >= 109}
+    assert {(r["a"], r["b"]) for r in got.collect()} == want and len(want) >= 100
+
+
 def test_blacklist_and_distinct(spark):
     g = spark.createDataFrame([("a b",)] * 10 + [("c d",)] * 6 + [("e f",)] * 5 + [("k z",)] * 9, "gram string")
     assert sorted(r["gram"] for r in aggregating.blacklist(g, ["k"]).collect()) == ["a b", "c d"]
