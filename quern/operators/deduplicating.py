@@ -51,42 +51,49 @@ def _crc_steps() -> np.ndarray:
     return c
 
 
+def _char_crcs(code: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """CRC register after the UTF-8 of each character alone, from zero."""
+    steps, x = _crc_steps(), np.zeros(len(code), np.uint32)
+    for i in range(4):
+        more = np.clip(6 * (width - 1 - i), 0, None).astype(np.uint32)  # bits of the bytes to come
+        byte = code >> more
+        byte = np.where(width == 1, byte, byte & 63 | 128) if i else np.where(width == 1, byte, byte | (0xF00 >> width) & 255)
+        x = np.where(i < width, steps[(x ^ byte) & 255] ^ (x >> np.uint32(8)), x).astype(np.uint32)
+    return x
+
+
 def gram_crcs(texts: Sequence[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, CRC-32 of the UTF-8) of each run of n characters, in order. A CRC is linear: that of a run is the sum of its characters', each carried on over the bytes after it."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
-    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(texts)), size)
-    at = np.flatnonzero(np.arange(len(code)) + n <= np.repeat(np.cumsum(size), size))
-    if not len(at):
-        return row[at], np.array([], np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row, runs = np.repeat(np.arange(len(texts)), np.maximum(size - n + 1, 0)), len(code) - n + 1
+    if not len(row):
+        return row, np.array([], np.int64)
     seen = np.zeros(int(code.max()) + 1, bool)
     seen[code] = True
-    used = np.flatnonzero(seen)
-    place = np.cumsum(seen) - 1
+    used = np.flatnonzero(seen).astype(np.uint32)
+    place = np.zeros(len(seen), np.int32)
+    place[used] = np.arange(len(used))
     steps, far = _crc_steps(), 4 * n
-
-    def on(x: np.ndarray) -> np.ndarray:
-        return steps[x & np.uint32(255)] ^ (x >> np.uint32(8))
-
-    own = np.zeros(len(used), np.uint32)
-    for i, c in enumerate(used.tolist()):
-        x = 0
-        for byte in chr(c).encode("utf-8", "surrogatepass"):
-            x = int(steps[(x ^ byte) & 255]) ^ (x >> 8)
-        own[i] = x
-    carried, start = [own], [np.array([0xFFFFFFFF], np.uint32)]
+    width = (1 + (used >= 0x80) + (used >= 0x800) + (used >= 0x10000)).astype(np.int32)
+    carried, start = [_char_crcs(used, width)], [np.array([0xFFFFFFFF], np.uint32)]
     for _ in range(far):
-        carried.append(on(carried[-1]))
-        start.append(on(start[-1]))
+        for x in (carried, start):
+            x.append(steps[x[-1] & np.uint32(255)] ^ (x[-1] >> np.uint32(8)))
     table, start = np.concatenate(carried), np.concatenate(start)
-    code = place[code]
-    end = np.cumsum((1 + (used >= 0x80) + (used >= 0x800) + (used >= 0x10000))[code])
-    before = np.r_[0, end]
-    last = end[at + n - 1]
-    out = ~start[last - before[at]]
-    for i in range(n):
-        out ^= table[(last - end[at + i]) * len(used) + code[at + i]]
-    return row[at], out.astype(np.int64)
+    code = place.take(code)
+    end = np.zeros(len(code) + 1, np.int32)
+    np.cumsum(width.take(code), out=end[1:])
+    last = end[n:]
+    out = ~start.take(last - end[:runs])
+    for i in range(n):  # at all places, those across two texts as well
+        out ^= table.take((last - end[i + 1 : i + 1 + runs]) * np.int32(len(used)) + code[i : i + runs])
+    if len(row) < runs:
+        within = np.ones(runs, bool)
+        cut = np.cumsum(size)[:, None] - np.arange(1, n)
+        within[cut[(cut >= 0) & (cut < runs)]] = False
+        out = out[within]
+    return row, out.astype(np.int64)
 
 
 def minhash_lanes(texts: Sequence[str | None], k: int, shingle: int, seed: int) -> np.ndarray:
@@ -326,11 +333,15 @@ def gram_vector(text: str, n: int = 4, dims: int = 4096) -> np.ndarray:
 SKETCH, FIRST, ROWS, LOST = 256, 64, 1024, 2e-3
 
 
-def gram_matrix(texts: Sequence[str], n: int = 4, dims: int = 4096) -> np.ndarray:
-    """``gram_vector`` of each text, as rows."""
-    row, x = gram_crcs([t.lower().ljust(n) for t in texts], n)
-    v = np.bincount(row * dims + x % dims, minlength=len(texts) * dims).reshape(len(texts), dims).astype(np.float32)
-    return v / np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64))[:, None].astype(np.float32)
+def gram_matrix(texts: Sequence[str], n: int = 4, dims: int = 4096, rows: int = 100) -> np.ndarray:
+    """``gram_vector`` of each text, as rows; some at a time, so that what is made on the way stays in the processor's cache."""
+    out = np.empty((len(texts), dims), np.float32)
+    for z in range(0, len(texts), rows):
+        some = [t.lower().ljust(n) for t in texts[z : z + rows]]
+        row, x = gram_crcs(some, n)
+        v = np.bincount(row * dims + x % dims, minlength=len(some) * dims).reshape(len(some), dims).astype(np.float32)
+        out[z : z + rows] = v / np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64))[:, None].astype(np.float32)
+    return out
 
 
 def _directions(size: int, dims: int = 4096) -> np.ndarray:

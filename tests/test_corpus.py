@@ -1,4 +1,6 @@
 import random
+import tracemalloc
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -236,6 +238,23 @@ def test_remembered_few_and_many_find_the_same(spark):
     assert "array<long>" not in plan and "lanes" not in plan
 
 
+def test_gram_vectors_are_made_some_at_a_time():
+    """What is made on the way stayed no smaller than all texts of a batch; the hashes are those of zlib, across the ends of texts too."""
+    rng = random.Random(2)
+    rows = ["".join(rng.choices("aàạ 😀b", k=1100)) for _ in range(500)]
+    deduplicating.gram_matrix(rows[:5])
+    tracemalloc.start()
+    v = deduplicating.gram_matrix(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3 * v.nbytes
+    assert all(np.allclose(v[i], deduplicating.gram_vector(rows[i]), atol=1e-6) for i in (0, 99, 100, 499))
+    odd = ["", "abc", "abcd", "\ud800abc", "", "߿ࠀ￿𐀀\U0010ffff", "é" * 5, "ab", "x" * 9]
+    for n in (1, 4, 5):
+        row, x = deduplicating.gram_crcs(odd, n)
+        assert list(zip(row.tolist(), x.tolist(), strict=True)) == [(i, zlib.crc32(t[j : j + n].encode("utf-8", "surrogatepass"))) for i, t in enumerate(odd) for j in range(len(t) - n + 1)]
+
+
 def test_settings_reports_and_backups(spark, tmp_path):
     assert readers.settings("# x\nA=1\n\nexport B = 'two words'\nA=2\nnothing\n=3") == {"A": "1", "B": "two words"}
     d = spark.createDataFrame([("a|b", 0.5), (None, None)], "name string, x double")
