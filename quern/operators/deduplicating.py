@@ -402,7 +402,7 @@ def sketch_tile(t: pa.Table, least: float) -> pa.RecordBatch | None:
             a, b = x[j : j + 100_000], y[j : j + 100_000]
             ok = np.einsum("ij,ij->i", v[a].astype(np.float32), v[b].astype(np.float32)) + rest[a] * rest[b] >= least - LOST
             found.append((node[a[ok]], node[b[ok]]))
-    if not found:
+    if not any(len(a) for a, _ in found):
         return None
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
 

@@ -222,6 +222,13 @@ def test_no_wide_row_is_joined_to_pairs_that_are_not_alike(spark):
     assert got == {(rows[a][0], rows[b][0]) for a, b in want}
 
 
+def test_tiles_whose_pairs_all_fail_the_whole_sketch_give_no_rows():
+    """Two vectors that are alike along the first axes only, those of the first comparison."""
+    v = np.eye(deduplicating.SKETCH, dtype=np.float16)[[deduplicating.FIRST, deduplicating.FIRST + 1]]
+    t = pa.table({"bi": [0, 0], "bj": [0, 0], "node": [1, 2], "side": pa.array([3, 3], pa.int32()), "v": pa.array([x.tobytes() for x in v], pa.binary())})
+    assert deduplicating.sketch_tiles(t, 0.92) is None
+
+
 def test_a_repeated_text_is_alike_at_any_length(spark):
     """The cosine doesn't depend on the length, so no window of sizes may."""
     t = "một hai ba bốn năm sáu bảy tám chín mười "
