@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.functions import canonical, stats, text
 from quern.operators import aggregating, conforming, deduplicating, filtering, integrity, ordering, partitioning, scheduling, validating
-from quern.plans.lineage import checkpoint
+from quern.plans.lineage import checkpoint, stored
 from quern.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +65,25 @@ def records(spark: SparkSession, d: str, *columns: str, keep: Callable[[DataFram
     return narrow.join(again, "example_id", "left_anti").select("example_id", *wanted).unionByName(first(narrow.join(again, "example_id", "left_semi")))
 
 
+def deliveries(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Every delivery of each record: (delivery, key) and the wanted columns.
+
+    ``delivery`` is unique and in the order of ids, then of deliveries: the id, for a
+    later one with its number. ``key`` is the hash of the whole row but its time of
+    ingestion. Only rows of ids that occur twice are shuffled.
+    """
+    t = table(spark, d, "sft_rows")
+    key = F.sha2(canonical.canonical_json(t, [c for c in t.columns if c != "ingested_at"]), 256)
+    again = conforming.small(t.groupBy("example_id").agg(F.count("*").alias("n")).where("n > 1").select("example_id"))
+    r = t.select("example_id", "ingested_at", *columns, key.alias("key"))
+    number = F.row_number().over(Window.partitionBy("example_id").orderBy("ingested_at", "key"))
+    later = F.concat("example_id", F.lit("\x01"), F.lpad(F.col("n").cast("string"), 10, "0"))
+    more = r.join(again, "example_id", "left_semi").withColumn("n", number).withColumn("delivery", F.when(F.col("n") == 1, F.col("example_id")).otherwise(later))
+    once = r.join(again, "example_id", "left_anti").withColumn("delivery", F.col("example_id"))
+    out = ("delivery", "key", *columns)
+    return once.select(*out).unionByName(stored(more.select(*out)))
+
+
 # --- rows: filters, search, pages, lookups
 
 

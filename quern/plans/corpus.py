@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import canonical, text
 from quern.operators import aggregating, conforming, deduplicating, filtering, integrity, ordering, partitioning, validating
-from quern.plans.contract import ONCE, ORACLES, query, records, table
+from quern.plans.contract import ONCE, ORACLES, deliveries, query, records, table
 from quern.plans.lineage import checkpoint
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "sft_rows", "splits", "ifd_scores", "anchor_readings", "cards", "spreads", "sample_targets", "split_targets", "mix_targets")
@@ -397,10 +397,9 @@ def tightening_blacklist(spark, d):
 @query()
 def cascade_stages(spark, d):
     columns = ("target_vi", "card_ids", "orientations", "task_type", "spread_id", "length_band", "register", "matched_pair_id")
-    r = records(spark, d, *columns)
+    r = deliveries(spark, d, *columns)  # the first stage removes what was delivered again
     structure = [F.array_sort("card_ids"), *map(F.col, ("orientations", "task_type", "spread_id", "length_band", "register"))]
-    key = F.sha2(canonical.canonical_json(r), 256)
-    stages = deduplicating.cascade(r, "example_id", "target_vi", key, structure, F.col("example_id"), F.col("matched_pair_id").isNotNull(), cosine=0.92)
+    stages = deduplicating.cascade(r, "delivery", "target_vi", F.col("key"), structure, F.col("delivery"), F.col("matched_pair_id").isNotNull(), cosine=0.92)
     return stages.groupBy("stage").agg(F.count("*").alias("n"))
 
 

@@ -203,6 +203,20 @@ def test_cascade_with_vectors_against_row_by_row(spark):
     assert got == want and {"exact", "near", "embedding", "kept"} <= set(want.values())
 
 
+def test_cascade_stages_drops_what_was_delivered_again(spark, tmp_path):
+    """Whole rows are told apart but for their time of ingestion: a protected record goes only if it was delivered again."""
+    import __spark_entry__ as entry
+
+    words = texts(4, 5)
+    kind = "example_id string, target_vi string, card_ids array<int>, orientations array<string>, task_type string, spread_id string, length_band string, register string, matched_pair_id string, matched_member string, ingested_at int"
+    row = lambda id, t, cards, pair, member, at: (id, words[t], cards, ["upright"], "x", "s", "short", "warm", pair, member, at)
+    rows = [row("a", 0, [1], "p", "one", 5), row("a", 0, [1], "p", "one", 3), row("a", 0, [1], "p", "one", 3), row("ab", 0, [1], "p", "other", 4)]
+    rows += [row("b", 1, [2], None, None, 1), row("b", 1, [2], None, None, 2), row("c", 2, [2], None, None, 1), row("d", 3, [3], None, None, 1)]
+    spark.createDataFrame(rows, kind).repartition(3).write.parquet(f"{tmp_path}/sft_rows.parquet")
+    got = {r["stage"]: r["n"] for r in entry.queries()["cascade_stages"](spark, str(tmp_path)).collect()}
+    assert got == {"exact": 3, "structural": 1, "kept": 4}
+
+
 def test_no_wide_row_is_joined_to_pairs_that_are_not_alike(spark):
     """Texts of one vocabulary meet in most bands of few lanes; sketches leave about the pairs that are alike."""
     rng = random.Random(3)
