@@ -1,7 +1,7 @@
 """Near-duplicate records: exact set-similarity join in size-banded tiles, with hashed bitmap signatures.
 
 Plan: one pass makes per record a node (hash of its words), the number n of
-distinct shingles, a 384-bit parity signature and its *prefix*. Shingles that
+distinct shingles, a 384-bit parity signature (long texts: 640 bits more) and its *prefix*. Shingles that
 nearly always follow one another (a phrase) form one class; which do is learnt
 from counts, and any classes give the same result. A text's shingles are put in
 order of class, rare and long ones first; the prefix are the classes that begin
@@ -26,15 +26,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import hash_to_min, joined
-from quern.llm.words import BITS, Batch, among, bitmap, by_runs, per_batch, signatures, sliced, words
+from quern.llm.words import BITS, Batch, among, bitmap, by_runs, distinct, parities, per_batch, signatures, sliced, words
 from quern.plans.lineage import checkpoint, stored
 
 SIG = [f"s{i}" for i in range(BITS // 64)]
 SIG_SCHEMA = ", ".join(f"{s} long" for s in SIG)
-#: Prefix classes of a group, about, and the fewest groups; prefix classes that are shuffled at a time; rows of a block of comparisons; nodes up to which those of a class are compared offset by offset, many classes at once.
-GROUP, GROUPS, ROUND, ROWS, FEW = 600_000, 16, 100_000_000, 64, 16
+#: Prefix classes of a group, about, and the fewest groups; prefix classes that are shuffled at a time, in so many turns at most; rows of a block of comparisons; nodes up to which those of a class are compared offset by offset, many classes at once.
+GROUP, GROUPS, ROUND, TURNS, ROWS, FEW = 600_000, 16, 12_000_000, 6, 64, 16
 #: log2 of the places that shingles are counted in, one in how many rows is counted (all), and in how many of its occurrences a shingle follows another of its class. They only change classes and their order, never what is found.
 COUNTERS, COUNTED, FOLLOWS = 20, 1, 0.7
+#: Shingles above which a text has further bits of signature, and how many: so few as BITS are about as different for all long texts.
+LONG, MORE = 200, 640
 
 
 def chains(places: np.ndarray, follower: np.ndarray, size: int) -> np.ndarray:
@@ -95,8 +97,16 @@ def prefixes(doc: np.ndarray, h: np.ndarray, n: int, table: np.ndarray, threshol
     return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (key.astype(np.uint32).view(np.int32), at.astype(np.int32))]
 
 
-def features(rows: DataFrame, shingle: int, least_words: int, threshold: float, table) -> DataFrame:
-    """(id, node, n, s0.., keys, at) of rows (id, lead, text); lead is put before the text but not counted for least_words. Null texts and shorter ones give no row."""
+def further(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    """Per document of more than LONG shingles MORE further bits of signature, of the other halves of the hashes."""
+    long = size > LONG
+    of = long[doc]
+    bits = parities((np.cumsum(long) - 1)[doc[of]], h[of] & np.uint64(0xFFFFFFFF), int(long.sum()), MORE)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(long * (MORE // 64))].astype(np.int32)), pa.array(bits.ravel()))
+
+
+def features(rows: DataFrame, shingle: int, least_words: int, threshold: float, table, more: bool = False) -> DataFrame:
+    """(id, node, n, s0.., keys, at, with ``more`` the further bits of long texts) of rows (id, lead, text); lead is put before the text but not counted for least_words. Null texts and shorter ones give no row."""
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
         ids, lead, text = (b.column(i).to_pylist() for i in range(3))
@@ -108,9 +118,9 @@ def features(rows: DataFrame, shingle: int, least_words: int, threshold: float,
         n = len(keep)
         doc, h = full.shingles(shingle)
         size = np.bincount(doc, minlength=n)
-        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.string()), pa.array(full.nodes()), pa.array(size.astype(np.int32)), *map(pa.array, signatures(doc, h, n)), *prefixes(doc, h, n, table.value, threshold)], ["id", "node", "n", *SIG, "keys", "at"])
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.string()), pa.array(full.nodes()), pa.array(size.astype(np.int32)), *map(pa.array, signatures(doc, h, n)), *prefixes(doc, h, n, table.value, threshold), *([further(doc, h, size)] * more)], ["id", "node", "n", *SIG, "keys", "at", *["more"] * more])
 
-    return rows.mapInArrow(per_batch(f), f"id string, node long, n int, {SIG_SCHEMA}, keys array<int>, at array<int>")
+    return rows.mapInArrow(per_batch(f), f"id string, node long, n int, {SIG_SCHEMA}, keys array<int>, at array<int>" + ", more array<long>" * more)
 
 
 def word_lists(rows: DataFrame, wanted) -> DataFrame:
@@ -161,6 +171,11 @@ def bounded_pairs(t: pa.Table, threshold: float) -> pa.RecordBatch | None:
     spare = (n * (1 - 2 * share)).astype(np.int16 if len(n) and n.max() < 30_000 else np.int64)  # bits that may differ, rounded down
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.array([], np.int64)
     end = np.r_[start[1:], len(key)]
+    further = "more" in t.column_names
+    if further:
+        more = t.column("more").combine_chunks()
+        long = np.diff(more.offsets.to_numpy()) > 0
+        place, more = np.cumsum(long) - 1, more.flatten().to_numpy().view(np.uint64).reshape(int(long.sum()), MORE // 64)
 
     def keep(i: np.ndarray, j: np.ndarray) -> None:
         nonlocal found, held
@@ -168,6 +183,12 @@ def bounded_pairs(t: pa.Table, threshold: float) -> pa.RecordBatch | None:
         ok = (a != b) & ((side[a] & 1 & side[b] >> 1) | (side[a] >> 1 & side[b] & 1)).astype(bool)
         if split:
             ok &= block[a] != block[b]
+        if further:
+            both = np.flatnonzero(ok & long[a] & long[b])
+            for z in range(0, len(both), 100_000):
+                k = both[z : z + 100_000]
+                differ = np.bitwise_count(more[place[a[k]]] ^ more[place[b[k]]]).sum(axis=1, dtype=np.int64)
+                ok[k] = differ <= spare[i[k]].astype(np.int64) + spare[j[k]] + 1
         a, b = a[ok], b[ok]
         found.append(np.minimum(a, b).astype(np.int64) * len(node) + np.maximum(a, b))
         held += len(a)
@@ -210,7 +231,7 @@ def bounded_pairs(t: pa.Table, threshold: float) -> pa.RecordBatch | None:
                 ok = (ns[q] <= most[i]) & (n[i] <= ms[q])
                 if ok.any():
                     keep(i[ok], other[q[ok]])
-    if not held:
+    if not any(map(len, found)):
         return None
     both = np.unique(np.concatenate(found))
     a, b = node[both // len(node)], node[both % len(node)]
@@ -218,7 +239,8 @@ def bounded_pairs(t: pa.Table, threshold: float) -> pa.RecordBatch | None:
 
 
 def grouped(nodes: DataFrame, groups: int, rounds: int = 1, turn: int = 0) -> DataFrame:
-    """(key, node, n, side, s0.., keys, at): nodes (node, n, side, s0.., keys, at) once for each group of classes whose turn it is, with those of the prefix that are in it."""
+    """(key, node, n, side, s0.., keys, at, and more of nodes that have it): nodes (node, n, side, s0.., keys, at) once for each group of classes whose turn it is, with those of the prefix that are in it."""
+    more = ["more"] if "more" in nodes.columns else []
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch | None:
         p, q = (b.column(b.schema.get_field_index(c)) for c in ("keys", "at"))
@@ -234,10 +256,10 @@ def grouped(nodes: DataFrame, groups: int, rounds: int = 1, turn: int = 0) -> Da
             return None
         first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (group[1:] != group[:-1])])
         offsets = pa.array(np.r_[first, len(key)].astype(np.int32))
-        same = b.take(pa.array(row[first])).select(["node", "n", "side", *SIG])
-        return pa.RecordBatch.from_arrays([pa.array(group[first]), *same.columns, pa.ListArray.from_arrays(offsets, pa.array(key)), pa.ListArray.from_arrays(offsets, pa.array(at))], ["key", "node", "n", "side", *SIG, "keys", "at"])
+        same = b.select([*more, "node", "n", "side", *SIG]).take(pa.array(row[first]))
+        return pa.RecordBatch.from_arrays([pa.array(group[first]), *same.columns, pa.ListArray.from_arrays(offsets, pa.array(key)), pa.ListArray.from_arrays(offsets, pa.array(at))], ["key", *same.schema.names, "keys", "at"])
 
-    return nodes.mapInArrow(per_batch(f), f"key int, node long, n int, side int, {SIG_SCHEMA}, keys array<int>, at array<int>")
+    return nodes.mapInArrow(per_batch(f), "key int, " + "more array<long>, " * len(more) + f"node long, n int, side int, {SIG_SCHEMA}, keys array<int>, at array<int>")
 
 
 def group_sizes(nodes: DataFrame, groups: int) -> DataFrame:
@@ -262,12 +284,12 @@ def candidates(nodes: DataFrame, threshold: float, block: int) -> DataFrame:
     groups = max(GROUPS, -(-posts // GROUP))
     nb = F.ceil(F.col("df") / block).cast("int")
     sizes = checkpoint(group_sizes(nodes, groups))
-    rounds = min(max(-(-posts // ROUND), 1), groups)
+    rounds = min(max(-(-posts // ROUND), 1), TURNS, groups)
 
     def pairs(turn: int) -> DataFrame:
         p = grouped(nodes, groups, rounds, turn).join(F.broadcast(sizes), "key").withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
         p = p.withColumn("other", F.explode(F.when(F.col("nb") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))))
-        p = p.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "n", "side", *SIG, "keys", "at")
+        p = p.select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "n", "side", *SIG, "keys", "at", *[c for c in ["more"] if c in nodes.columns])
         p = p.repartition(4 * -(-groups // rounds), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
         return p.mapInArrow(by_runs(lambda t: bounded_tiles(t, threshold), ["key", "bi", "bj"]), "a long, b long").distinct()
 
@@ -290,20 +312,14 @@ def bounded_tiles(t: pa.Table, threshold: float) -> pa.RecordBatch | None:
     return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted arrays of distinct values."""
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / max(len(a) + len(b) - common, 1)
-
-
 def set_pairs(b: pa.RecordBatch, one: str, other: str, shingle: int) -> tuple[np.ndarray, list[list[str]], list[list[str]]]:
     """Likeness of each row's two word lists, and the lists."""
     x, y = ([w.split(" ") for w in b.column(c).to_pylist()] for c in (one, other))
-    full = Batch(x + y)
-    doc, h = full.shingles(shingle)
-    cut = np.searchsorted(doc, np.arange(2 * b.num_rows + 1))
-    of = [h[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
-    return np.array([likeness(of[i], of[i + b.num_rows]) for i in range(b.num_rows)]), x, y
+    doc, h = Batch([w for both in zip(x, y, strict=True) for w in both]).shingles(shingle)
+    n = np.bincount(doc, minlength=2 * b.num_rows).reshape(-1, 2).sum(axis=1)  # of both, those in common twice
+    pair, all_ = distinct(doc >> 1, h)
+    different = np.bincount(pair, minlength=b.num_rows)
+    return (n - different) / np.maximum(different, 1), x, y
 
 
 def exact_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
@@ -327,9 +343,9 @@ def near_links(rows: DataFrame, id: Column, text: Column, lead: Column | None =
     ``rows`` aren't touched.
     """
     src = rows.select(id.cast("string").alias("id"), (F.lit(None).cast("string") if lead is None else lead.cast("string")).alias("lead"), text.cast("string").alias("text")).where("id is not null and text is not null")
-    made = stored(features(src, shingle, least_words, threshold, classes(src, shingle)))
+    made = stored(features(src, shingle, least_words, threshold, classes(src, shingle), more=True))
     members = made.select("id", "node").distinct()
-    pairs = checkpoint(candidates(one_per_node(made).select("node", "n", F.lit(3).alias("side"), *SIG, "keys", "at"), threshold, block))
+    pairs = checkpoint(candidates(one_per_node(made).select("node", "n", F.lit(3).alias("side"), *SIG, "keys", "at", "more"), threshold, block))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     reps = made.groupBy("node").agg(F.min("id").alias("id")).join(ends, "node").select(F.xxhash64("id").alias("h"))
     texts = word_lists(src.withColumn("hash", F.xxhash64("id")), bitmap(rows.sparkSession, reps))

@@ -75,15 +75,22 @@ class Batch:
 
 
 def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    o = np.lexsort((h, doc))
-    doc, h = doc[o], h[o]
+    """doc ascending."""
+    h, cut = h.copy(), np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else ()
+    for a, z in zip(cut[:-1], cut[1:], strict=True):
+        h[a:z].sort()
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
     return doc[new], h[new]
 
 
+def parities(doc: np.ndarray, h: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Per document the parities of its 32-bit hashes by bit number, in 64-bit words."""
+    bits = np.bincount(doc * size + (h * np.uint64(size) >> np.uint64(32)).astype(np.int64), minlength=n * size) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(n, size), axis=1).view(np.int64).reshape(n, size // 64)
+
+
 def signatures(doc: np.ndarray, h: np.ndarray, n: int) -> list[np.ndarray]:
     """Per document the parities of its hashes by bit number, in 64-bit words. The bits in which two differ are at most the values only one of them has."""
-    bits = np.bincount(doc * BITS + ((h >> np.uint64(32)) * np.uint64(BITS) >> np.uint64(32)).astype(np.int64), minlength=n * BITS) & 1
-    packed = np.packbits(bits.astype(np.uint8).reshape(n, BITS), axis=1).view(np.int64).reshape(n, BITS // 64)
+    packed = parities(doc, h >> np.uint64(32), n, BITS)
     return [np.ascontiguousarray(packed[:, i]) for i in range(BITS // 64)]

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,22 @@ def test_groups_in_turns_find_the_same(spark, rows, monkeypatch):
     assert sorted(a) == sorted(b)
 
 
+def test_long_texts_with_one_class_in_common_are_told_apart():
+    """All bits of a short signature are about as different for all long texts."""
+    rng = np.random.RandomState(1)
+    h = rng.randint(0, 2**63, (40, 470)).astype(np.uint64)
+    h[1, 60:] = h[0, 60:]
+    h[:, 0] = 7
+    h.sort(axis=1)
+    doc, size = np.repeat(np.arange(40), 470), np.full(40, 470)
+    one = pa.array([[5]] * 40, pa.list_(pa.int32()))
+    t = {"bi": [0] * 40, "bj": [0] * 40, "block": [0] * 40, "node": pa.array(range(40), pa.int64()), "n": pa.array(size, pa.int32()), "side": pa.array([3] * 40, pa.int32())}
+    t |= {s: pa.array(x) for s, x in zip(neardup.SIG, neardup.signatures(doc, h.ravel(), 40), strict=True)} | {"keys": one, "at": pa.array([[0]] * 40, pa.list_(pa.int32()))}
+    assert neardup.bounded_pairs(pa.table(t), 0.6).num_rows > 100
+    got = neardup.bounded_pairs(pa.table(t | {"more": neardup.further(doc, h.ravel(), size)}), 0.6)
+    assert (got.column("a").to_pylist(), got.column("b").to_pylist()) == ([0], [1])
+
+
 def test_a_group_of_classes_fits_a_block():
     """Where it doesn't, its nodes are sent once for each block."""
     assert "block" in neardup.candidates.__code__.co_varnames and 1.3 * neardup.GROUP < neardup.near_links.__kwdefaults__["block"] == overlap.cross_split_pairs.__kwdefaults__["block"]
